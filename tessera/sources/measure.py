@@ -486,10 +486,11 @@ def imports(source: Source) -> list[dict]:
 
     def walk(body: list[ast.stmt], local: bool, typing: bool) -> None:
         for node in body:
+            told = {"line": node.lineno, "top": body is source.body, "type_checking": typing, "local": local}
             if isinstance(node, ast.Import):
-                out.extend({"level": 0, "module": a.name, "names": [], "type_checking": typing, "local": local} for a in node.names)
+                out.extend({"level": 0, "module": a.name, "names": [], **told} for a in node.names)
             elif isinstance(node, ast.ImportFrom):
-                out.append({"level": node.level, "module": node.module, "names": [a.name for a in node.names], "type_checking": typing, "local": local})
+                out.append({"level": node.level, "module": node.module, "names": [a.name for a in node.names], **told})
             elif isinstance(node, ast.If):
                 walk(node.body, local, typing or checking(node.test))
                 for _, block in source.clauses(node):

@@ -30,7 +30,7 @@ _ORDERED = {
     "functions": "name:s line column loc cyclomatic cognitive max_nesting params arity ncss exits typed_params annotatable_params has_return_annotation:b has_docstring:b docstring_lines "
     "loop_qty comparisons_qty numbers_qty string_literals_qty math_ops_qty variables_qty unique_words_qty",
     "classes": "name:s line column loc methods attributes lcom4 tcc:x lcc:x lcom_star:x wmc rfc is_abstract:b has_docstring:b docstring_lines bases:S coupled:S static_calls:S",
-    "imports": "level module:s names:S type_checking:b local:b",
+    "imports": "line top:b level module:s names:S type_checking:b local:b",
     "units": "name:s line statements shingles:N",
     "findings": "line column code:s severity:s message:s",
     "noqa": "line codes:S",
@@ -65,8 +65,8 @@ def file_facts(path: str, text: str | None, settings: rules.Settings) -> dict:
     return row
 
 
-def facts(sources: DataFrame, settings: rules.Settings | None = None) -> DataFrame:
-    """(path, source) rows to one row of facts a file."""
+def parse(sources: DataFrame, settings: rules.Settings | None = None) -> DataFrame:
+    """(path, source) rows, of a table or a stream, to one row of facts each; no exchange."""
     settings = settings or rules.Settings()
     arrow = to_arrow_schema(SCHEMA)
 
@@ -77,7 +77,13 @@ def facts(sources: DataFrame, settings: rules.Settings | None = None) -> DataFra
                 rows = [file_facts(p, s, settings) for p, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return sources.select(names.normal_path(F.col("path")).alias("path"), F.col("source").cast("string")).dropDuplicates(["path"]).mapInArrow(run, SCHEMA)
+    return sources.select("path", F.col("source").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def facts(sources: DataFrame, settings: rules.Settings | None = None) -> DataFrame:
+    """One row of facts a file: of rows with one path the one of the smallest text."""
+    rows = sources.select(names.normal_path(F.col("path")).alias("path"), F.col("source").cast("string").alias("source"))
+    return parse(rows.groupBy("path").agg(F.min("source").alias("source")), settings)
 
 
 @dataclass
