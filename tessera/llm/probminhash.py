@@ -8,13 +8,15 @@ process ends as soon as its next arrival is later than every component's time. T
 of equal components estimates the probability Jaccard similarity
 J_P = sum over shared d of 1 / sum over e of max(a_e / a_d, b_e / b_d).
 
-Bands of ``rows`` components are bucket keys. Within a bucket the smallest text is the
-leader; every member is verified against it by the exact J_P of the two shingle sets.
-Members that are not near their leader form the bucket again without those that are,
-with a new leader, until no bucket has two members, so no candidate is dropped by a cap
-and no bucket is expanded into all its pairs. Verified links are joined into groups by
-alternating large-star and small-star steps. Equal texts are one node throughout and are
-never compared.
+Bands of ``rows`` components are bucket keys; a text is in as many buckets as bands.
+Buckets of several texts are sorted into tasks with the members' signatures, one byte a
+component. There the first member leads: every member whose share of equal components is
+at most four deviations below the threshold is a candidate with it, and one that is three
+above is done in this bucket. What is not done goes on with the next leader, all buckets
+of a batch at once, so no candidate is dropped by a cap and near copies by the thousand
+cost one comparison each. Candidates are verified by the exact J_P of their shingle sets,
+and verified links are joined into groups by alternating large-star and small-star steps.
+Equal texts are one node throughout and are never compared.
 
 Defined results: null texts are never near anything and always stay; texts without a
 word are near only equal texts; of a text of under k words the whole is the shingle; a
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,10 +114,14 @@ def probability_jaccard(h1: np.ndarray, a: np.ndarray, h2: np.ndarray, b: np.nda
     return float((1.0 / ((above + only_a) / a + (below + only_b) / b)).sum())
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """m (digest), d (id), keys of every row with a text; empty keys without a word."""
+    """m (digest), d (id), sig (a byte a component) and keys of every row with a text; no key without a word."""
     schema = T.StructType([
-        T.StructField("m", T.StringType()), T.StructField("d", docs.schema[id_col].dataType), T.StructField("keys", T.ArrayType(T.LongType()))
+        T.StructField("m", T.BinaryType()), T.StructField("d", docs.schema[id_col].dataType), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +130,66 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, row
             for lo, hi in slices(offsets, 1 << 20):
                 words, first = word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 text, grams, counts = shingles(words, first, k)
-                keys = band_keys(signatures(text, grams, counts, hi - lo, bands * rows), bands, rows)
+                sig = signatures(text, grams, counts, hi - lo, bands * rows)
+                keys = band_keys(sig, bands, rows)
                 sizes = np.where(np.diff(first) > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[sizes > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=schema.names)
+                short = pa.array([x.tobytes() for x in mix(sig).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), short, lists], names=schema.names)
 
     text = F.col(text_col).cast("string")
-    rows_ = docs.select(F.md5(text).alias("m"), F.col(id_col).alias("d"), text.alias("t")).where("t is not null")
+    rows_ = docs.select(_digest(text).alias("m"), F.col(id_col).alias("d"), text.alias("t")).where("t is not null")
     return rows_.mapInArrow(run, schema)
 
 
-_SETS = "m string, h binary, c binary"
+def bucket_links(key: np.ndarray, sig: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, leader) rows of the candidates in buckets of ascending ``key``: share of equal components of ``low`` or more; at ``high`` a member is done."""
+    members, leaders, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key))
+    while len(live):
+        start = np.flatnonzero(np.diff(key[live], prepend=~key[live[0]]))
+        lead = np.repeat(live[start], np.diff(start, append=len(live)))
+        a, b = live[live != lead], lead[live != lead]
+        share = np.concatenate([np.zeros(0), *((sig[a[i : i + 8192]] == sig[b[i : i + 8192]]).mean(axis=1) for i in range(0, len(a), 8192))])
+        members.append(a[share >= low])
+        leaders.append(b[share >= low])
+        live = a[share < high]
+    return np.concatenate(members), np.concatenate(leaders)
+
+
+def _candidates(crowded: DataFrame, signed: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(m, l) of the members of each bucket (key, m) that a signature's estimate leaves in question, each pair once."""
+    deviation = (threshold * (1 - threshold) / size) ** 0.5
+    low, high = threshold - 4 * deviation, threshold + 3 * deviation
+
+    def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        sig = np.frombuffer(b"".join(whole.column(2).to_pylist()), np.uint8).reshape(-1, size)
+        a, b = bucket_links(whole.column(0).to_numpy(), sig, low, high)
+        m = whole.column(1).combine_chunks()
+        m = m.chunk(0) if isinstance(m, pa.ChunkedArray) else m
+        return pa.RecordBatch.from_arrays([m.take(pa.array(a)), m.take(pa.array(b))], names=["m", "l"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # ends within a bucket
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if len(key) == 0:
+                continue
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if held and (cut or held[-1].column(0)[-1].as_py() != int(key[0])):
+                yield linked([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield linked([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield linked(held)
+
+    rows = crowded.join(signed, "m").select("key", "m", "sig").repartition("key").sortWithinPartitions("key", "m")
+    return rows.mapInArrow(run, "m binary, l binary").distinct()
+
+
+_SETS = "m binary, h binary, c binary"
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -156,7 +211,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     # a text is taken from the row of its smallest id; <= and not = keeps the rows hashed by the digest alone,
     # so that of wholly repeated rows all but one go without another exchange
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.md5(text).alias("m"), F.col(id_col).alias("d"), text.alias("t"))
+    rows = docs.select(_digest(text).alias("m"), F.col(id_col).alias("d"), text.alias("t"))
     wanted = nodes.select(F.col("m").alias("w"), F.col("d").alias("e"))
     joined = rows.join(wanted, (F.col("m") == F.col("w")) & ((F.col("d") <= F.col("e")) | F.col("e").isNull()))
     return joined.groupBy("m").agg(F.first("t").alias("t")).mapInArrow(run, _SETS)
@@ -176,7 +231,7 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     leader = sets.select(F.col("m").alias("l"), F.col("h").alias("lh"), F.col("c").alias("lc"))
     both = edges.join(sets, "m").join(leader, "l").select("m", "l", "h", "c", "lh", "lc")
-    return both.mapInArrow(run, "m string, l string, similarity double").where(F.col("similarity") >= threshold)
+    return both.mapInArrow(run, "m binary, l binary, similarity double").where(F.col("similarity") >= threshold)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -216,31 +271,17 @@ def near_links(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, links): m and d of every row with a text; (m, l, similarity) of the verified links between distinct texts."""
     sketch = materialise(_sketch(docs, id_col, text_col, k, bands, rows), "sketch")
-    # nulls last, so that the smallest id is one where there is one
-    texts = sketch.groupBy("m").agg(F.min("d").alias("d"), F.first("keys").alias("keys"))
-    buckets = texts.select("m", "d", F.explode("keys").alias("key"))
-    spark, links, sets = docs.sparkSession, None, None
-    while True:
-        by = Window.partitionBy("key")
-        # text with the smallest id leads; lone members of a bucket leave it
-        crowded = buckets.withColumn("n", F.count("*").over(by)).where("n > 1").drop("n")
-        buckets = materialise(
-            crowded.withColumn("l", F.min(F.struct(F.col("d").isNull().alias("z"), "d", "m")).over(by)["m"]).select("key", "m", "d", "l"), "buckets"
-        )
-        edges = buckets.where("m != l").select("m", "l").distinct()
-        if edges.isEmpty():
-            break
-        if sets is None:
-            wanted = buckets.select("m", "d").distinct()
-            sets = materialise(_shingle_sets(docs, wanted, id_col, text_col, k), "sets")
-        found = materialise(_verified(edges, sets, threshold), "links")
-        links = found if links is None else links.union(found)
-        # who is near its leader is done in this bucket, as the leader is; the others meet again
-        rest = buckets.where("m != l").join(found.select("m", "l", F.lit(1).alias("ok")), ["m", "l"], "left").where("ok is null")
-        buckets = rest.select("m", "d", "key")
-    if links is None:
-        links = spark.createDataFrame([], "m string, l string, similarity double")
-    return sketch.select("m", "d"), links
+    texts = sketch.groupBy("m").agg(F.first("keys").alias("keys"))
+    buckets = texts.select("m", F.explode("keys").alias("key"))
+    # lone members of a bucket leave it
+    crowded = buckets.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "m")
+    crowded = materialise(crowded, "buckets")
+    signed = sketch.select("m", "sig").join(crowded.select("m").distinct(), "m", "left_semi").dropDuplicates(["m"])
+    edges = materialise(_candidates(crowded, signed, bands * rows, threshold), "candidates")
+    nodes = edges.select("m").union(edges.select("l")).distinct()
+    wanted = sketch.select("m", "d").join(nodes, "m", "left_semi").groupBy("m").agg(F.min("d").alias("d"))
+    sets = materialise(_shingle_sets(docs, wanted, id_col, text_col, k), "sets")
+    return sketch.select("m", "d"), materialise(_verified(edges, sets, threshold), "links")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +310,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, without those that ``near_duplicates`` names: one row of each group stays."""
     _, groups = duplicate_groups(docs, id_col, text_col, **parameters)
     gone = groups.select(F.col("m").alias("__tessera_m"), F.col("keep").alias("__tessera_keep"), F.col("root").alias("__tessera_root"))
-    keyed = docs.withColumn("__tessera_md5", F.md5(F.col(text_col).cast("string")))
+    keyed = docs.withColumn("__tessera_md5", _digest(F.col(text_col).cast("string")))
     joined = keyed.join(gone, F.col("__tessera_md5") == F.col("__tessera_m"), "left")
     first = F.col(id_col).eqNullSafe(F.col("__tessera_keep")) & (F.col("__tessera_md5") == F.col("__tessera_root"))
     alone = joined.where("__tessera_m is null").select(*docs.columns)
