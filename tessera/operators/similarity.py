@@ -7,16 +7,19 @@ are asked for. Clusters and partners work on links between entries.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.store import written
 
 HASHES, BANDS, ROWS, THRESHOLD, SHINGLE = 64, 16, 4, 0.85, 4
+_SPACE = re.compile("[\t\n\f\r ]+")
 
 
 def splitmix64(x: np.ndarray) -> np.ndarray:
@@ -63,10 +66,21 @@ def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def word_shingles(text: F.Column, k: int = SHINGLE) -> F.Column:
-    """Distinct hashes of k lower-cased white-space separated words in a row; empty for fewer words."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " "))))
+    """Distinct hashes of k lower-cased white-space separated words in a row; empty for fewer words.
+
+    In Arrow batches: as nested array functions the words would be split again for every shingle.
+    """
+
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            words = [w for w in _SPACE.split((text or "").lower()) if w]
+            grams = {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+            out.append(sorted(xxhash.xxh64_intdigest(g) - (1 << 63) for g in grams))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(text)
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
