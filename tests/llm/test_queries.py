@@ -1,0 +1,54 @@
+"""The corpus queries with SQL against DuckDB, and the pipeline against its stages' rules, at the smallest size."""
+
+import pytest
+from oracle import assert_same
+
+import corpus_pipeline
+from tessera.llm import bpe, queries, secret_scan
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    assert assert_same(queries.queries()[name](spark, DATA), queries.oracle_sql()[name], DATA)
+
+
+def test_names():
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+
+
+def test_pipeline(spark):
+    """Each stage on all its predecessor kept, redone here with plain Python where the operator has a plain form."""
+    from test_probminhash import groups_by_brute_force
+    from test_winnow import spans_by_brute_force
+
+    from tessera.llm import quality
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in quality.accepted(docs).collect()}
+    assert 0.5 * len(rows) < len(good) < len(rows)
+    gone = groups_by_brute_force([(d, rows[d]) for d in good])
+    left = good - set(gone)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    spoilt = {d for d, *_ in spans_by_brute_force({d: rows[d] for d in left}, items)}
+    assert spoilt
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
+    wanted = left - spoilt
+    # the search for near-duplicates is approximate
+    assert len(set(got) ^ wanted) <= 0.1 * len(gone)
+    scanner = secret_scan.Scanner()
+    for d in set(got) & wanted:
+        r = got[d]
+        assert bpe.decode_bytes(r.token_ids).decode() == r.text and r.n_tokens == len(r.token_ids)
+        if r.text == rows[d]:
+            assert not secret_scan_hits(scanner, rows[d])
+
+
+def secret_scan_hits(scanner, text):
+    import pyarrow as pa
+
+    from tessera.llm.common import text_buffer
+
+    return scanner.spans(*text_buffer(pa.array([text])))
