@@ -104,7 +104,7 @@ class LabelModel:
     def __init__(self, counts: dict[str, int], rounds: int = 200, smoothing: float = 1.0) -> None:
         self.patterns = sorted(counts)
         n = np.array([counts[p] for p in self.patterns], np.float64)
-        vote = np.array([["abg".index(c) for c in p] for p in self.patterns]).reshape(len(self.patterns), -1)
+        vote = np.array([["abg".index(c) for c in p] for p in self.patterns]).reshape(len(self.patterns), len(self.patterns[0]) if self.patterns else 0)
         one_hot = np.eye(3)[vote] if len(n) else np.zeros((0, 0, 3))
         # begin with the majority, which also fixes which class is good
         good, bad = (vote == 2).sum(axis=1), (vote == 1).sum(axis=1)
