@@ -7,7 +7,7 @@ is normalised to 1 for a unit with itself. Units of labelled sentences train the
 words over-represented in toxic documents against words of clean ones. Landmarks are
 chosen among them, the Nystroem map K(x, L) K(L, L)^(-1/2) gives the features, and a
 linear hinge-loss machine is fitted on them. As the kernel is an inner product of
-subsequence vectors, landmarks and weights fold into one table of the 27^3 triples, and
+subsequence vectors, landmarks and weights fold into one table of the 32^3 triples, and
 scoring a unit is a sum of table entries over its triples.
 
 A document is toxic if its highest unit is above a threshold that best separates the
@@ -33,19 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DECAY, LONGEST, LETTERS = 0.75, 12, 27
+DECAY, LONGEST, LETTERS = 0.75, 12, 32
 _LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: Tokens whose scores a worker remembers; beyond it starts afresh. Changes speed only.
 REMEMBERED = 400_000
 
 
 def fold(token: str) -> str:
-    """The letters of a token: lower-cased, without accents; digits and signs that stand for letters inside a word become them, others go."""
+    """The letters of a token, lower-cased; digits and signs that stand for letters inside a word become them, others go.
+
+    Accents stay: a word with one is another word, and the kernel bridges a single differing letter.
+    """
     token = token.lower()
     if token.isascii() and token.isalpha():
         return token
     if not token.isascii():
-        token = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).replace("ß", "ss")
+        token = unicodedata.normalize("NFC", token)
     if not any(map(str.isalpha, token)):
         return ""
     inner = token.strip("!.,;:?\"'()")
@@ -96,9 +99,9 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(stretches: list[str]) -> np.ndarray:
-    """Letter numbers of equally long stretches: a-z 1 to 26, any other letter 0."""
+    """Letter numbers of equally long stretches: a-z 1 to 26, other letters by their code 27 to 31."""
     text = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32).reshape(len(stretches), -1)
-    return np.where((text >= 97) & (text <= 122), text.astype(np.int64) - 96, 0)
+    return np.where((text >= 97) & (text <= 122), text.astype(np.int64) - 96, 27 + text.astype(np.int64) % 5)
 
 
 def vectors(stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
