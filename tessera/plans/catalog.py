@@ -272,7 +272,7 @@ def g3_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 WITH {_edges_sql(150)}, x AS (SELECT a.n_regionkey AS p, b.n_regionkey AS q FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst),
 d AS (SELECT c, count(*) AS d FROM (SELECT p AS c FROM x UNION ALL SELECT q FROM x) GROUP BY c)
-SELECT round((SELECT count(*) FROM x WHERE p = q) / (SELECT count(*) FROM x) - sum(d * d) / (4.0 * power((SELECT count(*) FROM x), 2)), 9) AS q_declared FROM d""")
+SELECT coalesce(round((SELECT count(*) FROM x WHERE p = q) / (SELECT count(*) FROM x) - sum(d * d) / (4.0 * power((SELECT count(*) FROM x), 2)), 9), 0) AS q_declared FROM d""")
 def g4_declared_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
     return graphs.declared_modularity(members, _nation_edges(spark, sf_dir, 150)).select(F.round("q_declared", 9).alias("q_declared"))
