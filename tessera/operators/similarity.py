@@ -35,7 +35,7 @@ _SEEDS = splitmix64(np.arange(HASHES, dtype=np.uint64))
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minimum of each of the 64 hashes over the shingles (uint64, one at least)."""
-    return np.array([splitmix64(shingles ^ seed).min() for seed in _SEEDS], np.uint64)
+    return splitmix64(shingles[None, :] ^ _SEEDS[:, None]).min(axis=1)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -73,30 +73,41 @@ def word_shingles(text: F.Column, k: int = SHINGLE) -> F.Column:
 
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
+        out, known = [], _Hashes()
         for text in texts.to_pylist():
             words = [w for w in _SPACE.split((text or "").lower()) if w]
-            grams = {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
-            out.append(sorted(xxhash.xxh64_intdigest(g) - (1 << 63) for g in grams))
+            hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
+            for j in range(k if len(grams) else 0):
+                grams = splitmix64(grams ^ hashes[j : j + len(grams)])
+            out.append(np.unique(grams).view(np.int64))
         return pa.array(out, pa.list_(pa.int64()))
 
     return run(text)
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = xxhash.xxh64_intdigest(word)
+        return self[word]
+
+
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(copies, units): id and entry of every text; entry and shingles of each distinct one that has some."""
+    """(copies, units): id and entry of every text; entry and shingles of each distinct one, none for a short text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.md5(text_col).alias("m"))
     first = rows.groupBy("m").agg(F.min("id").alias("entry"))
     copies = written(rows.select("id", "m").join(first, "m").select("id", "entry", "m"), "copies")
     firsts = copies.where("id = entry").select("id", "m")
-    units = rows.join(firsts, ["id", "m"], "left_semi").select("id", word_shingles(F.col("t")).alias("shingles")).where("size(shingles) > 0")
+    units = rows.join(firsts, ["id", "m"], "left_semi").select("id", word_shingles(F.col("t")).alias("shingles"))
     return copies.select("id", "entry"), units
 
 
 def text_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) enough to join all texts of a cluster: entries' links, and each copy with its entry."""
     copies, units = _entries(docs, id_col, text_col)
-    units = written(units, "entries")
+    units = written(units, "entries").where("size(shingles) > 0")
     shingled = copies.join(units.select(F.col("id").alias("entry")), "entry", "left_semi")
     return links(units).select("a", "b").union(shingled.where("id != entry").select(F.col("entry").alias("a"), F.col("id").alias("b")))
 
@@ -104,7 +115,7 @@ def text_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All pairs (a, b, similarity), a < b, of texts of shingles: entries' links re-expanded to their copies."""
     copies, units = _entries(docs, id_col, text_col)
-    units = written(units, "entries")
+    units = written(units, "entries").where("size(shingles) > 0")
     same = units.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     every = links(units).union(same)
     left, right = copies.select(F.col("entry").alias("a"), F.col("id").alias("x")), copies.select(F.col("entry").alias("b"), F.col("id").alias("y"))
