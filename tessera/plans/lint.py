@@ -20,8 +20,8 @@ ALIASES = {"yaml": "pyyaml", "PIL": "pillow", "cv2": "opencv-python", "bs4": "be
 _COLUMNS = ("path", "line", "column", "code", "severity", "message")
 
 
-def _as_findings(rows: DataFrame, code: str, message: Column, column: int = 1) -> DataFrame:
-    return rows.select("path", F.col("line").cast("long").alias("line"), F.lit(column).cast("long").alias("column"), F.lit(code).alias("code"), F.lit("warning").alias("severity"), message.alias("message"))
+def _as_findings(rows: DataFrame, code: str, message: Column, column: Column | int = 1) -> DataFrame:
+    return rows.select("path", F.col("line").cast("long").alias("line"), (F.lit(column) if isinstance(column, int) else column).cast("long").alias("column"), F.lit(code).alias("code"), F.lit("warning").alias("severity"), message.alias("message"))
 
 
 def near_duplicates(facts: Tables) -> DataFrame:
@@ -51,6 +51,18 @@ def undeclared(facts: Tables, declared: set[str] | None) -> DataFrame:
     return _as_findings(rows, "SLP180", F.format_string("%s is not declared", "name"))
 
 
+def ghosts(facts: Tables) -> DataFrame:
+    """Definitions that no file refers to, and settings read that none defines; the latter only where some file defines a setting at all."""
+    parsed, test = facts.parsed, F.col("path").rlike(r"(^|/)(conftest\.py|test_[^/]*\.py|[^/]*_test\.py)$|(^|/)tests/")
+    refs, words, keys = (parsed.select(F.explode(c).alias("name")) for c in ("refs", "string_words", "keys"))
+    defs = facts.exploded("defs", "seq").where(F.col("free") & ~test)
+    unused = relations.unreferenced(defs, refs, words)
+    reads = facts.exploded("reads", "seq").withColumnRenamed("key", "name")
+    undefined = relations.unreferenced_if_any(reads, keys.union(words), keys)
+    said = _as_findings(unused, "SLP240", F.format_string("nothing refers to %s %s", "kind", "name"), F.col("column"))
+    return said.union(_as_findings(undefined, "SLP240", F.format_string("nothing defines the setting %s", "name"), F.col("column")))
+
+
 def names_of(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[-_.]+", "-")
 
@@ -60,7 +72,7 @@ def findings(facts: Tables, config: Config | None = None, declared: set[str] | N
     config = config or Config()
     wanted = [c for c, (_, preview, _) in CATALOGUE.items() if config.enabled(c, preview)]
     rows = facts.findings.select(*_COLUMNS, "emit_seq").where(F.col("code").isin(*wanted) if wanted else F.lit(False))
-    whole = [("SLP020", lambda: near_duplicates(facts)), ("SLP090", lambda: crowded(facts, config.limits.get("fanout", FANOUT))), ("SLP180", lambda: undeclared(facts, declared))]
+    whole = [("SLP020", lambda: near_duplicates(facts)), ("SLP090", lambda: crowded(facts, config.limits.get("fanout", FANOUT))), ("SLP180", lambda: undeclared(facts, declared)), ("SLP240", lambda: ghosts(facts))]
     for i, (code, make) in enumerate(whole):
         if code in wanted:
             rows = rows.union(make().withColumn("emit_seq", F.lit(1_000_000 + i).cast("long")))

@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators.store import written
 from tessera.sources import files as names
+from tessera.sources import ghosts, rules
 from tessera.sources import measure as M
-from tessera.sources import rules
 
 _KINDS = {"s": T.StringType(), "n": T.LongType(), "b": T.BooleanType(), "x": T.DoubleType(), "S": T.ArrayType(T.StringType()), "N": T.ArrayType(T.LongType())}
 
@@ -34,6 +34,8 @@ _ORDERED = {
     "units": "name:s line statements shingles:N",
     "findings": "line column code:s severity:s message:s",
     "noqa": "line codes:S",
+    "defs": "name:s kind:s line column free:b",
+    "reads": "key:s line column",
 }
 _FILE = (
     "path:s loc comment_lines nloc handlers bare broad swallow top_level_code function_code is_test:b is_generated:b "
@@ -45,7 +47,8 @@ def _fields(told: str) -> list[T.StructField]:
     return [T.StructField(n, _KINDS[k or "n"]) for n, _, k in (x.partition(":") for x in told.split())]
 
 
-SCHEMA = T.StructType([*_fields(_FILE), *(T.StructField(n, T.ArrayType(T.StructType(_fields(x)))) for n, x in _ORDERED.items())])
+_LISTS = "refs:S string_words:S keys:S"
+SCHEMA = T.StructType([*_fields(_FILE), *_fields(_LISTS), *(T.StructField(n, T.ArrayType(T.StructType(_fields(x)))) for n, x in _ORDERED.items())])
 
 
 def file_facts(path: str, text: str | None, settings: rules.Settings) -> dict:
@@ -58,7 +61,7 @@ def file_facts(path: str, text: str | None, settings: rules.Settings) -> dict:
             "comment_lines": len(source.comments), "nloc": M.nloc(source), "top_level_code": M.top_level_code(source),
             "function_code": sum(M.statements(source, f.body, False) for f in source.functions), **M.exception_facts(source), **M.test_facts(source, row["is_test"]),
             "functions": [M.function_facts(source, f) for f in source.functions], "classes": [M.class_facts(source, c) for c in source.classes],
-            "imports": M.imports(source), "units": M.clone_units(source), "findings": rules.check(path, source, settings), "noqa": rules.directives(source),
+            "imports": M.imports(source), "units": M.clone_units(source), "findings": rules.check(path, source, settings), "noqa": rules.directives(source), **ghosts.scan(source),
         }
     except (SyntaxError, RecursionError) as e:
         row |= {"parse_error": str(e), "findings": rules.check_corrupted(text, settings)}
@@ -94,7 +97,7 @@ class Tables:
 
     @property
     def files(self) -> DataFrame:
-        return self.parsed.drop(*_ORDERED)
+        return self.parsed.drop(*_ORDERED, "refs", "string_words", "keys")
 
     def exploded(self, name: str, at: str) -> DataFrame:
         return self.parsed.select("path", F.posexplode(name).alias(at, "x")).select("path", F.col(at).cast("long").alias(at), "x.*")

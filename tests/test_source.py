@@ -104,7 +104,7 @@ def test_edges_of_the_stage(spark):
 
 
 def test_sinks(spark):
-    config = files.Config(preview=True, ignore=("SLP002", "SLP120"))
+    config = files.Config(preview=True, ignore=("SLP002", "SLP120", "SLP240"))
     rows = lint.findings(source_catalog.facts(spark), config, {"requests"})
     assert len(json.loads(lint.json_document(rows).collect()[0].value)["findings"]) == 6
     assert json.loads(lint.sarif(rows).collect()[0].value)["version"] == "2.1.0"
@@ -122,6 +122,17 @@ def test_copied_functions_are_not_expanded(spark):
     assert got["f0"] == "f1" and got["f39"] == "f0"
 
 
+def test_ghosts(spark):
+    project = {
+        "a.py": "import settings\n\ndef used(): ...\ndef ghost(): ...\ndef main(): ...\n@register\ndef kept(): ...\nclass ThingBase: ...\ndef named(): ...\n__all__ = ['Listed']\nclass Listed: ...\nif settings.DEBUG or settings.MISSING: ...\n",
+        "b.py": "from a import used\nDEBUG = 1\nx = 'the named one'\n", "tests/c.py": "def helper(): ...\n",
+    }
+    rows = lint.ghosts(stage.tables(spark.createDataFrame(list(project.items()), "path string, source string"))).collect()
+    assert {(r.path, r.line, r.column, r.message) for r in rows} == {("a.py", 4, 5, "nothing refers to function ghost"), ("a.py", 12, 22, "nothing defines the setting MISSING")}
+    bare = stage.tables(spark.createDataFrame([("a.py", "import config\nconfig.GONE\n")], "path string, source string"))
+    assert lint.ghosts(bare).count() == 0
+
+
 def test_kernels(spark):
     values = spark.createDataFrame([(v,) for v in range(1, 21)], "x long")
     assert values.agg(X.nearest_rank("x").alias("p")).collect()[0].p == 19
