@@ -14,7 +14,8 @@ component. There the first member leads: every member whose share of equal compo
 at most four deviations below the threshold is a candidate with it, and one that is three
 above is done in this bucket. What is not done goes on with the next leader, all buckets
 of a batch at once, so no candidate is dropped by a cap and near copies by the thousand
-cost one comparison each. Candidates are verified by the exact J_P of their shingle sets,
+cost one comparison each. As nearness is not transitive, the done members of a leader are
+then compared with the members of other leaders, until a share that high joins the two. Candidates are verified by the exact J_P of their shingle sets,
 and verified links are joined into groups by alternating large-star and small-star steps.
 Equal texts are one node throughout and are never compared.
 
@@ -145,6 +146,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, row
 def bucket_links(key: np.ndarray, sig: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     """(member, leader) rows of the candidates in buckets of ascending ``key``: share of equal components of ``low`` or more; at ``high`` a member is done."""
     members, leaders, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key))
+    of = np.arange(len(key))  # the leader a member is done with; a leader's own is itself
     while len(live):
         start = np.flatnonzero(np.diff(key[live], prepend=~key[live[0]]))
         lead = np.repeat(live[start], np.diff(start, append=len(live)))
@@ -152,10 +154,42 @@ def bucket_links(key: np.ndarray, sig: np.ndarray, low: float, high: float) -> t
         share = np.concatenate([np.zeros(0), *((sig[a[i : i + 8192]] == sig[b[i : i + 8192]]).mean(axis=1) for i in range(0, len(a), 8192))])
         members.append(a[share >= low])
         leaders.append(b[share >= low])
+        of[a[share >= high]] = b[share >= high]
         live = a[share < high]
+    if len(key):
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        begins = np.append(0, ends[:-1])
+        led = np.add.reduceat(of == np.arange(len(key)), begins)
+        # buckets of several leaders of which one at least has done members
+        for i in np.flatnonzero((led > 1) & (led < ends - begins)).tolist():
+            for a, b in _links_of_done(of[begins[i] : ends[i]] - begins[i], sig[begins[i] : ends[i]], low, high):
+                members.append(a + begins[i])
+                leaders.append(b + begins[i])
     return np.concatenate(members), np.concatenate(leaders)
 
 
+def _links_of_done(of: np.ndarray, sig: np.ndarray, low: float, high: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates between the done members of each leader of one bucket and the members of later leaders, but for those joined by a share of ``high``."""
+    joined = of.copy()
+    done = np.flatnonzero(of != np.arange(len(of)))
+    for leader in np.unique(of[done]).tolist():
+        mine = done[of[done] == leader]
+        others = np.flatnonzero((of > leader) & (joined != joined[leader]))
+        step = max(1, 8192 // len(mine))
+        for at in range(0, len(others), step):
+            part = others[at : at + step]
+            part = part[joined[part] != joined[leader]]
+            if len(part) == 0:
+                continue
+            share = np.concatenate([(sig[part][:, None] == sig[mine[j : j + 8192]]).mean(axis=2) for j in range(0, len(mine), 8192)], axis=1)
+            best = share.max(axis=1)
+            sure = np.flatnonzero(best >= high)
+            yield part[sure], mine[share[sure].argmax(axis=1)]
+            row, column = np.nonzero((share >= low) & (best < high)[:, None])
+            yield part[row], mine[column]
+            joined[np.isin(joined, joined[part[sure]])] = joined[leader]
+
+
 def _candidates(crowded: DataFrame, signed: DataFrame, size: int, threshold: float) -> DataFrame:
     """(m, l) of the members of each bucket (key, m) that a signature's estimate leaves in question, each pair once."""
     deviation = (threshold * (1 - threshold) / size) ** 0.5

@@ -98,3 +98,34 @@ def test_bucket_links_compare_all_that_are_not_done():
     sig = np.array([[1] * 8, [2] * 8, [2] * 8, [1] * 8, [3] * 8, [4] * 8], np.uint8)
     a, b = P.bucket_links(key, sig, 0.5, 0.9)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 1), (3, 0)]
+
+
+def test_bucket_links_compare_done_members_with_the_rest():
+    sig = np.zeros((302, 160), np.uint8)
+    for i in range(1, 301):
+        sig[i, [(i + j * 7) % 160 for j in range(50)]] = i % 255 + 1  # share of 0.69 with the leader
+    sig[301] = 255
+    sig[301, :90] = sig[200, :90]  # near one variant, not the leader
+    assert (sig[301] == sig[0]).mean() < 0.42
+    a, b = P.bucket_links(np.zeros(302, np.int64), sig, 0.34, 0.62)
+    assert (301, 200) in zip(a.tolist(), b.tolist(), strict=True)
+
+
+def test_copies_near_one_variant_of_a_large_group(spark):
+    rng = np.random.default_rng(5)
+
+    def edited(words, n, name):
+        words = list(words)
+        for i in rng.choice(len(words), n, replace=False):
+            words[i] = f"{name}e{i}"
+        return words
+
+    base = [f"b{i}" for i in range(400)]
+    variants = [edited(base, 12, f"v{k}") for k in range(300)]
+    copies = [edited(variants[7 * k], 40, f"c{k}") for k in range(40)]
+    rows = list(enumerate(" ".join(w) for w in variants + copies))
+    got = {r.doc_id: r.duplicate_of for r in P.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = groups_by_brute_force(rows)
+    late = [d for d in want if d >= 300]
+    assert len(late) >= 20 and not set(got) - set(want)
+    assert sum(d in got for d in late) >= 0.88 * len(late)
