@@ -5,9 +5,11 @@ made deterministic by subset construction over byte classes, minimised by partit
 refinement, and laid out as one flat transition array. Texts are scanned in lock-step:
 a numpy step advances thousands of segments by one byte each. A segment begins after a
 byte (line feed or the separator between texts) at which every state has the same
-future, so cutting there loses nothing; no rule may match a line feed, and
-``compile_rules`` refuses one that does. A segment without such a byte for very long is
-walked on its own by the same table. Each accepting position then runs its rule's
+future, so cutting there loses nothing; nothing the automaton looks for may match a line
+feed, and ``Scanner`` refuses a rule that does. Rules whose alphabets would make the automaton
+large, or that cross lines, are looked for by how they begin; their expression is then run on
+the texts that have it. A segment without such a byte for very long is
+walked on its own by the same table. Each accepting position of another rule runs its
 reversed automaton back to the leftmost start, so matches are leftmost-longest and do
 not overlap within a rule.
 
@@ -18,6 +20,7 @@ neither read nor returned by ``scan`` and pass through ``redact`` untouched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,26 +39,33 @@ ANY = frozenset(range(256)) - {10, SEPARATOR}
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule whose open-ended classes hold word characters only keeps the automaton small: nothing else can begin inside such a run.
+    """``pattern`` without an ``anchor`` is scanned for by the automaton, which stays small if its open-ended classes hold word characters only.
 
-    ``pattern`` is ASCII: literals, classes, ``(?:)``, ``|``, ``? * + {m} {m,} {m,n}``, ``\\b`` at either end, ``(?i)`` in front.
+    Such a pattern, and an anchor, is ASCII: literals, classes, ``(?:)``, ``|``, ``? * + {m} {m,} {m,n}``, ``\\b`` at either end, ``(?i)`` in front.
+    With an anchor, which every match begins with, ``pattern`` is any regular expression over bytes and may cross lines:
+    the automaton looks for the anchor, and the expression is run on the texts that have it.
     """
 
     name: str
     pattern: str
+    anchor: str = ""
 
 
+_VALUE = r"[\"']?[ \t]*[:=][ \t]*[\"']?[!#-&(-~]"
+_KEY_END = r"[A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+
 RULES = (
     Rule("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    Rule("bearer", r"(?i)\bbearer +[0-9a-z_]{20,}\b"),
+    Rule("bearer", r"(?i)\bbearer +[0-9a-z._~+/=-]{20,}", r"(?i)\bbearer "),
     Rule("github_token", r"\bgh[oprsu]_[0-9A-Za-z]{36}\b"),
-    Rule("google_api_key", r"\bAIza[0-9A-Za-z_]{35}\b"),
-    Rule("json_web_token", r"\beyJ[0-9A-Za-z_]{6,}\.eyJ[0-9A-Za-z_]{6,}\.[0-9A-Za-z_]{6,}\b"),
-    Rule("password", r"(?i)\b(?:password|passwd|pwd)[ \t]*[:=][ \t]*[\"']?[0-9a-z_]{8,}\b"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
-    Rule("slack_token", r"\bxox[abeoprs]-[0-9]{8,14}-[0-9A-Za-z]{8,}\b"),
+    Rule("google_api_key", r"\bAIza[0-9A-Za-z_-]{35,}", r"\bAIza"),
+    Rule("json_web_token", r"\beyJ[0-9A-Za-z_-]{6,}\.eyJ[0-9A-Za-z_-]{6,}\.[0-9A-Za-z_-]{6,}", r"\beyJ"),
+    Rule("password", rf"(?i)\b(?:password|passwd|pwd){_VALUE}{{8,}}", r"(?i)\b(?:password|passwd|pwd)[\"']?[ \t]*[:=]"),
+    # up to END; of a key that is cut off the lines that are there
+    Rule("private_key", rf"-----BEGIN {_KEY_END}(?:(?:-{{0,4}}[^-])*-----END {_KEY_END}|(?:(?:\s*[0-9A-Za-z+/=\\]{{16,}})+(?:\s+[0-9A-Za-z+/=]+)?)?)", r"-----BEGIN "),
+    Rule("slack_token", r"\bxox[abeoprs](?:\.xox[bp])?-[0-9A-Za-z-]{10,}", r"\bxox[abeoprs]"),
     Rule("stripe_key", r"\b[prs]k_(?:live|test)_[0-9A-Za-z]{16,}\b"),
-    Rule("token", r"(?i)\b(?:token|secret|api_?key|access_?key|client_?secret)[ \t]*[:=][ \t]*[\"']?[0-9a-z_]{16,}\b"),
+    Rule("token", rf"(?i)\b(?:token|secret|api_?key|access_?key|client_?secret){_VALUE}{{16,}}", r"(?i)\b(?:token|secret|api_?key|access_?key|client_?secret)[\"']?[ \t]*[:=]"),
 )
 
 
@@ -291,12 +301,13 @@ class Scanner:
     def __init__(self, rules: Iterable[Rule] = RULES) -> None:
         self.rules = tuple(rules)
         self.edges: list[tuple[bool, bool]] = []
+        self.whole = [re.compile(r.pattern.encode()) if r.anchor else None for r in self.rules]
         nfa, ends, self.back = _Nfa(), {}, []
         start = nfa.state()
         nfa.moves[start].append((frozenset(range(256)), start))
         outside = frozenset(range(256)) - WORD
         for i, rule in enumerate(self.rules):
-            tree, left, right = _parse(rule.pattern)
+            tree, left, right = _parse(rule.anchor or rule.pattern)
             self.edges.append((left, right))
             whole = ("cat", *([("set", outside)] if left else []), tree, *([("set", outside)] if right else []))
             begin = nfa.state()
@@ -357,11 +368,15 @@ class Scanner:
         buffer[np.arange(len(raw)) + text_of + 1] = raw
         begin = offsets[:-1] + np.arange(n) + 1
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        anchored: set[tuple[int, int]] = set()
         for stop, state in self.ends(buffer):
             for rule in self.forward.accepts[state]:
                 left, right = self.edges[rule]
                 end = stop - right
                 text = int(np.searchsorted(begin, end - 1, side="right")) - 1
+                if self.whole[rule]:
+                    anchored.add((text, rule))
+                    continue
                 back, low = self.back[rule], int(begin[text])
                 s, at, best = back.start, end, -1
                 while at > low and s != back.dead:
@@ -372,6 +387,8 @@ class Scanner:
                 if best >= 0:
                     found.setdefault((text, rule), []).append((best - low, end - low))
         out = []
+        for text, rule in anchored:
+            out += [(text, rule, *m.span()) for m in self.whole[rule].finditer(raw[offsets[text] : offsets[text + 1]].tobytes())]
         for (text, rule), places in found.items():
             last = 0
             for s, e in sorted(set(places), key=lambda x: (x[0], -x[1])):
