@@ -209,7 +209,8 @@ def _chance(c: int, n: int, share: float) -> float:
 
 def _machine(bad: list[str], good: list[str], landmarks: int, rounds: int) -> Machine:
     """Nystroem features on landmarks of both classes and a linear hinge-loss machine by dual coordinate descent."""
-    words = [u[:LONGEST] for u in bad + good]
+    bad, good = ([w for u in side for w in windows(u)] for side in (bad, good))
+    words = bad + good
     target = np.array([1.0] * len(bad) + [-1.0] * len(good))
     half = landmarks // 2
     marks = words[: len(bad)][: 2 * half] + words[len(bad) :][:half]

@@ -47,3 +47,9 @@ def test_edge_rows(spark):
     assert {i for i in range(0, 90, 3)} | {102, None} == found
     assert X.toxic(docs, labels.where("toxic = 0")).count() == 0 and X.toxic(docs.limit(0), labels).count() == 0
     assert np.isfinite([r.score for r in got.collect()]).all()
+
+
+def test_long_words_are_learnt_to_their_end():
+    bad, good = ["donaudampfschifftrottel", "donaudampfschiffidiotin"], ["donaudampfschiffkapitan", "donaudampfschiffmatrose"]
+    machine = X._machine(bad, good, 64, 50)
+    assert machine.margins(bad).min() > machine.margins(good).max()
