@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ TIERS = {
 TIER_NAMES = ("low", "moderate", "high", "very_high")
 
 STOP_WORDS = (
-    "the a an to of in on at by for and or is are be it its this that these those with as from into we you i do does did set get so if then will can may not no "
-    "our your"
+    "all and any are as at be but by can do does else for from here if in into is it its no not of on or so that the their then there this to was we were when where "
+    "which will with yes you a an"
 ).split()
 
 
@@ -74,7 +76,7 @@ def lines(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct lower-cased alphanumeric runs of two bytes or more that are no stop words."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    words = F.split(F.translate(text, ascii_uppercase, ascii_lowercase), r"[^\p{L}\p{N}]+")
     return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~w.isin(*STOP_WORDS)))
 
 
@@ -89,15 +91,34 @@ def identifier_words(name: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, x: a + 1 + F.regexp_count(x, F.lit(r"\p{Ll}(?=\p{Lu})")))
 
 
+#: A line with one of these is no prose.
+CODE_SIGNS = "=(){}[]:;@%<>/\\|*+~`\""
+STATEMENT_WORDS = (
+    "and assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
+).split()
+
+
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
+def is_code_line(line: Column) -> Column:
+    """Neither blank nor a comment."""
+    bare = stripped(line)
+    return (bare != "") & ~bare.startswith("#")
+
+
 def is_prose_line(line: Column) -> Column:
-    """At least four white-space separated words, three quarters of them plain words, and no code sign."""
-    words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: w != "")
-    plain = F.filter(words, lambda w: w.rlike(r"^[A-Za-z]+[.,;:!?]?$"))
-    return (F.size(words) >= 4) & (4 * F.size(plain) >= 3 * F.size(words)) & ~line.rlike(r"[=(){}\[\]]")
+    """At least four white-space separated words, no code sign, and no statement's keyword in front."""
+    bare = stripped(line)
+    words = F.split(bare, r"\s+")
+    return (F.translate(bare, CODE_SIGNS, "") == bare) & (F.size(words) >= 4) & ~F.get(words, F.lit(0)).isin(*STATEMENT_WORDS)
 
 
-def is_whole_line_tag(line: Column) -> Column:
-    return F.trim(line).rlike(r"^</?[A-Za-z][A-Za-z0-9_-]*>$")
+def artifact(line: Column) -> Column:
+    """What a line is a leftover of: fence (of markdown), conflict (a merge's marker; seven = alone may be an underline), tag (and nothing else); else null."""
+    bare = stripped(line)
+    return F.when(bare.rlike("^(?:`{3}|~{3})"), "fence").when(bare.rlike(r"^(?:<{7}|>{7}|\|{7})"), "conflict").when(bare.rlike(r"(?s)^<(?:[A-Za-z].*|/.*[A-Za-z].*)>$"), "tag")
 
 
 def normalise_distribution(name: Column) -> Column:

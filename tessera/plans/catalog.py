@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as X
 from tessera.operators import graphs, relations, similarity
-from tessera.plans import source_catalog
+from tessera.plans import panel, source_catalog
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -92,37 +92,50 @@ def slp080_oversized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(X.lines(F.col("text"))).cast("long").alias("loc")).where("loc > 40")
 
 
-@_query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-     w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '') AS ws FROM l WHERE trim(line) <> ''),
-     p AS (SELECT doc_id, len(ws) >= 4 AND 4 * len(list_filter(ws, lambda x: regexp_full_match(x, '[A-Za-z]+[.,;:!?]?'))) >= 3 * len(ws)
-                  AND NOT regexp_matches(line, '[=(){}\[\]]') AS prose FROM w)
-SELECT doc_id, count(*) AS code_lines, count(*) FILTER (prose) AS prose_lines, round(count(*) FILTER (prose) / count(*), 6) AS ratio FROM p GROUP BY doc_id""")
+_BARE = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+_STATEMENTS = ", ".join(f"'{w}'" for w in X.STATEMENT_WORDS)
+
+
+@_query(rf"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_BARE}), lambda x: x <> '' AND x[1] <> '#') AS code FROM documents),
+     p AS (SELECT doc_id, len(code) AS code_lines, len(list_filter(code, lambda x: NOT regexp_matches(x, '[=(){{}}\[\]:;@%<>/\\|*+~`"]')
+                  AND len(regexp_split_to_array(x, '\s+')) >= 4 AND regexp_split_to_array(x, '\s+')[1] NOT IN ({_STATEMENTS}))) AS prose_lines FROM l)
+SELECT doc_id, code_lines, prose_lines, round(CASE WHEN code_lines = 0 THEN 0 ELSE prose_lines / code_lines END, 6) AS ratio FROM p""")
 def x10_prose_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that read as prose, of those that are neither blank nor a comment."""
     docs = _table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    counted = rows.groupBy("doc_id").agg(F.count("*").alias("code_lines"), F.count_if(X.is_prose_line(F.col("line"))).alias("prose_lines"))
+    code = docs.select("doc_id", F.filter(F.split("text", "\n"), X.is_code_line).alias("code"))
+    counted = code.select("doc_id", F.size("code").cast("long").alias("code_lines"), F.size(F.filter("code", X.is_prose_line)).cast("long").alias("prose_lines"))
     return counted.withColumn("ratio", F.round(X.ratio(F.col("prose_lines"), F.col("code_lines")), 6))
 
 
-@_query(r"""
+@_query(rf"""
 WITH l AS (SELECT page_id, string_split(replace(html, '>', '>' || chr(10)), chr(10)) AS ls FROM pages),
-     x AS (SELECT page_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS s FROM l)
-SELECT page_id, min(line) AS line FROM x WHERE regexp_full_match(trim(s), '</?[A-Za-z][A-Za-z0-9_-]*>') GROUP BY page_id""")
+     x AS (SELECT page_id, unnest(range(1, len(ls) + 1)) AS line, unnest(list_transform(ls, lambda x: {_BARE})) AS s FROM l),
+     k AS (SELECT page_id, line, CASE WHEN starts_with(s, '```') OR starts_with(s, '~~~') THEN 'fence' WHEN left(s, 7) IN ('<<<<<<<', '>>>>>>>', '|||||||') THEN 'conflict'
+                  WHEN s LIKE '<%>' AND len(s) >= 3 AND regexp_matches(s[2], '[/A-Za-z]') AND regexp_matches(s[2:], '[A-Za-z]') THEN 'tag' END AS kind FROM x)
+SELECT page_id, min(line) AS line, arg_min(kind, line) AS kind FROM k WHERE kind IS NOT NULL GROUP BY page_id""")
 def slp220_artifact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each page that is a tag as a whole."""
+    """The first line of each page that is a leftover, with a line feed after every tag of the page."""
     pages = _table(spark, sf_dir, "pages")
-    rows = pages.select("page_id", F.posexplode(F.split(F.replace("html", F.lit(">"), F.lit(">\n")), "\n")).alias("at", "s"))
-    return rows.where(X.is_whole_line_tag(F.col("s"))).groupBy("page_id").agg((F.min("at") + 1).cast("long").alias("line"))
+    rows = F.transform(F.split(F.replace("html", F.lit(">"), F.lit(">\n")), "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), X.artifact(x).alias("kind")))
+    first = F.get(F.filter(rows, lambda r: r["kind"].isNotNull()), F.lit(0))
+    return pages.select("page_id", first.alias("f")).where("f is not null").select("page_id", "f.*")
 
 
-@_query(r"""
-WITH w AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: len(x) >= 2)) AS a,
-                  list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: len(x) >= 2) AS b FROM part)
-SELECT p_partkey, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS overlap FROM w""")
+_STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_CONTENT = rf"list_distinct(list_filter(regexp_split_to_array(translate({{0}}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda x: strlen(x) >= 2 AND x NOT IN ({_STOPS})))"
+
+
+@_query(rf"""
+WITH w AS (SELECT doc_id, {_CONTENT.format("split_part(text, chr(10), 1)")} AS a, {_CONTENT.format("text[strpos(text || chr(10), chr(10)) + 1:]")} AS b FROM documents)
+SELECT doc_id, len(a) AS words, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS overlap FROM w""")
 def x1_content_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
-    return part.select("p_partkey", F.round(X.overlap_ratio(X.content_words(F.col("p_name")), X.content_words(F.col("p_type"))), 6).alias("overlap"))
+    """What share of the first line's content words the rest of the document has."""
+    docs = _table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n", 2)
+    words = docs.select("doc_id", X.content_words(lines[0]).alias("a"), X.content_words(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))).alias("b"))
+    return words.select("doc_id", F.size("a").cast("long").alias("words"), F.round(X.overlap_ratio(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
 @_query(r"""
@@ -134,9 +147,9 @@ def slp060_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(r"""
-SELECT regexp_replace(url, '/?[^/]*$', '') AS directory, count(*) AS files, min(url) AS first_file FROM pages GROUP BY 1 HAVING count(*) > 3""")
+SELECT regexp_replace(url, '/?[^/]*$', '') AS directory, count(*) AS files, min(url) AS first_file FROM pages GROUP BY 1 HAVING count(*) > 1""")
 def slp090_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.crowded_directories(_table(spark, sf_dir, "pages"), 3, "url")
+    return relations.crowded_directories(_table(spark, sf_dir, "pages"), 1, "url")
 
 
 _SHINGLES = r"""
@@ -193,34 +206,35 @@ def j7_guarded_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation
-WHERE n_nationkey < 10 AND (n_nationkey = s_nationkey OR n_nationkey = (s_nationkey + 7) % 25))""")
+WHERE n_nationkey < 5 AND (n_nationkey = s_nationkey OR n_nationkey = (s_nationkey + 7) % 25))""")
 def j8_candidate_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers none of whose two candidate nations is known."""
-    known = _table(spark, sf_dir, "nation").where("n_nationkey < 10").select("n_nationkey")
+    known = _table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_nationkey")
     supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return relations.without_match(supplier, F.array("s_nationkey", F.expr("(s_nationkey + 7) % 25")), known, ["s_suppkey"], "n_nationkey").select("s_suppkey")
 
 
-def _nation_edges(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    """Edges from suppliers' to customers' nations with the number of line items, ``least`` or more of them."""
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from suppliers' to customers' nations that have more line items than the supplier's nation has with a nation on average, by a fiftieth or more."""
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     supplier = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
     customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst"))
     joined = line.join(orders, "l_orderkey").join(supplier, "l_suppkey").join(customer, "o_custkey")
-    return joined.groupBy("src", "dst").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("src") != F.col("dst")))
+    pairs = joined.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("mean", F.avg("n").over(Window.partitionBy("src")))
+    return pairs.where((F.col("n") >= 1.02 * F.col("mean")) & (F.col("src") != F.col("dst"))).drop("mean")
 
 
-def _edges_sql(least: int) -> str:
-    return f"""e AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-    JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL HAVING count(*) >= {least})"""
+_EDGES = """p AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+e AS (SELECT src, dst, n FROM (SELECT *, avg(n) OVER (PARTITION BY src) AS mean FROM p) WHERE n >= 1.02::DOUBLE * mean AND src <> dst)"""
 
 
 @_query(f"""
-WITH {_edges_sql(120)}, n AS (SELECT src AS node, dst AS other, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, src, 0, 1 FROM e)
+WITH {_EDGES}, n AS (SELECT src AS node, dst AS other, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, src, 0, 1 FROM e)
 SELECT node, count(DISTINCT other) FILTER (o = 1) AS fan_out, count(DISTINCT other) FILTER (i = 1) AS fan_in, count(DISTINCT other) AS cbo_modified FROM n GROUP BY node""")
 def j13_fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.degrees(_nation_edges(spark, sf_dir, 120))
+    return relations.degrees(_nation_edges(spark, sf_dir))
 
 
 @_query("""
@@ -233,7 +247,7 @@ def j15_nosi_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {_edges_sql(150)}, m AS (SELECT n_nationkey, n_regionkey AS package FROM nation),
+WITH {_EDGES}, m AS (SELECT n_nationkey, n_regionkey AS package FROM nation),
 x AS (SELECT DISTINCT a.package AS p, b.package AS q FROM e JOIN m a ON a.n_nationkey = src JOIN m b ON b.n_nationkey = dst WHERE a.package <> b.package),
 r AS (SELECT package, count(*) AS modules, (SELECT count(*) FROM x WHERE p = package) AS ce, (SELECT count(*) FROM x WHERE q = package) AS ca,
              count(*) FILTER (n_nationkey % 3 = 0) AS abstract_classes FROM m GROUP BY package)
@@ -244,7 +258,7 @@ def a16_package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").alias("module"), F.col("n_regionkey").alias("package"), F.lit(1).alias("loc"), F.lit(1).alias("classes"),
         F.when(F.col("n_nationkey") % 3 == 0, 1).otherwise(0).alias("abstract"),
     )
-    edges = _nation_edges(spark, sf_dir, 150)
+    edges = _nation_edges(spark, sf_dir)
     modules = modules.withColumn("package", F.col("package").cast("string"))
     rows = relations.package_rows(modules, edges)
     rounded = [F.round(c, 6).alias(c) for c in ("instability", "abstractness", "distance")]
@@ -252,30 +266,30 @@ def a16_package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH RECURSIVE {_edges_sql(150)}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
+WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
 m AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst),
 c AS (SELECT node, least(node, min(other)) AS component FROM m GROUP BY node)
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c""")
 def g1_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.strongly_connected(_nation_edges(spark, sf_dir, 150))
+    return graphs.strongly_connected(_nation_edges(spark, sf_dir))
 
 
 @_query(f"""
-WITH RECURSIVE {_edges_sql(150)}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
+WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
 SELECT (SELECT count(*) FROM nation) AS nodes, count(*) + (SELECT count(*) FROM nation) AS reachable_pairs,
        round((count(*) + (SELECT count(*) FROM nation)) / power((SELECT count(*) FROM nation), 2), 9) AS propagation_cost FROM r WHERE src <> dst""")
 def g3_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    return graphs.propagation_cost(nodes, _nation_edges(spark, sf_dir, 150)).withColumn("propagation_cost", F.round("propagation_cost", 9))
+    return graphs.propagation_cost(nodes, _nation_edges(spark, sf_dir)).withColumn("propagation_cost", F.round("propagation_cost", 9))
 
 
 @_query(f"""
-WITH {_edges_sql(150)}, x AS (SELECT a.n_regionkey AS p, b.n_regionkey AS q FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst),
+WITH {_EDGES}, x AS (SELECT a.n_regionkey AS p, b.n_regionkey AS q FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst),
 d AS (SELECT c, count(*) AS d FROM (SELECT p AS c FROM x UNION ALL SELECT q FROM x) GROUP BY c)
 SELECT coalesce(round((SELECT count(*) FROM x WHERE p = q) / (SELECT count(*) FROM x) - sum(d * d) / (4.0 * power((SELECT count(*) FROM x), 2)), 9), 0) AS q_declared FROM d""")
 def g4_declared_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
-    return graphs.declared_modularity(members, _nation_edges(spark, sf_dir, 150)).select(F.round("q_declared", 9).alias("q_declared"))
+    return graphs.declared_modularity(members, _nation_edges(spark, sf_dir)).select(F.round("q_declared", 9).alias("q_declared"))
 
 
 @_query("""
@@ -314,10 +328,15 @@ def o5_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.first_writer(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@_query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL")
+@_query("""
+WITH r AS (SELECT l_returnflag || l_linestatus AS profile, CAST(max(l_quantity) AS DOUBLE) AS quantity_max, avg(l_discount) AS discount_avg FROM lineitem GROUP BY 1),
+     v AS (SELECT profile, 'quantity_max' AS metric, quantity_max AS value, 49.5 AS ceiling FROM r UNION ALL SELECT profile, 'discount_avg', discount_avg, 0.9 FROM r)
+SELECT profile, metric, round(value, 6) AS value, CAST(ceiling AS DOUBLE) AS ceiling FROM v WHERE value > ceiling""")
 def o7_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows above a ceiling, counted: what fails a gate."""
-    return _table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    """What of a panel by return flag and status is above its ceiling."""
+    line = _table(spark, sf_dir, "lineitem")
+    rows = line.groupBy(F.concat("l_returnflag", "l_linestatus").alias("profile")).agg(F.max("l_quantity").alias("quantity_max"), F.avg("l_discount").alias("discount_avg"))
+    return panel.gates(rows, {"quantity_max": 49.5, "discount_avg": 0.9}).withColumn("value", F.round("value", 6))
 
 
 @_query("""

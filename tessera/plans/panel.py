@@ -27,7 +27,7 @@ def panel(files: DataFrame, functions: DataFrame, classes: DataFrame, profiles:
     full = F.col("has_return_annotation") & (F.col("typed_params") == F.col("annotatable_params"))
     by_function = functions.join(profiles, "path").groupBy("profile").agg(
         F.count("*").alias("functions"), *_spread("cyclomatic"), *_tiers("cyclomatic"), *_spread("cognitive"), *_tiers("cognitive"), *_spread("arity"), *_tiers("arity"),
-        *_spread("ncss"), *_spread("max_nesting"), F.coalesce(F.max(F.when(logic, F.col("loc"))), F.lit(0)).alias("max_logic_function_loc"),
+        *_spread("ncss"), *_spread("params"), *_spread("max_nesting"), *_spread("loc", "function_loc"), F.coalesce(F.max(F.when(logic, F.col("loc"))), F.lit(0)).alias("max_logic_function_loc"),
         F.sum("typed_params").alias("typed"), F.sum("annotatable_params").alias("annotatable"), X.ratio(F.count_if(full), F.count("*")).alias("fully_annotated_rate"),
         F.count_if(public).alias("public_f"), F.count_if(public & F.col("has_docstring")).alias("documented_f"),
         X.ratio(F.sum("docstring_lines"), F.sum("ncss")).alias("docstring_code_ratio"),
@@ -52,6 +52,7 @@ def panel(files: DataFrame, functions: DataFrame, classes: DataFrame, profiles:
     public_units, documented = F.col("public_f") + F.col("public_c"), F.col("documented_f") + F.col("documented_c")
     gods = [F.coalesce(F.col(f"{m}_tiers.very_high"), F.lit(0)) for m in ("cyclomatic", "cognitive", "wmc", "nloc")]
     return joined.withColumns({
+        "god_cyclomatic": gods[0], "god_cognitive": gods[1], "god_wmc": gods[2], "god_nloc": gods[3],
         "annotation_coverage": X.ratio(F.col("typed"), F.col("annotatable")), "docstring_coverage": X.ratio(documented, public_units), "god_units": sum(gods[1:], gods[0]),
     }).drop("typed", "annotatable", "public_f", "public_c", "documented_f", "documented_c")
 

@@ -12,8 +12,10 @@ import re
 import tokenize
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
-from tessera.functions.columns import STOP_WORDS
+from tessera.functions.columns import CODE_SIGNS, STATEMENT_WORDS, STOP_WORDS
+from tessera.sources import leaks
 from tessera.sources import measure as M
 
 #: code: (name, preview, what it says)
@@ -34,8 +36,11 @@ CATALOGUE = {
     "SLP120": ("god-class", True, "a class whose methods share nothing"),
     "SLP130": ("dispatch-ladder", True, "an if chain that tests one subject"),
     "SLP180": ("undeclared-import", True, "an import that no manifest declares"),
+    "SLP210": ("phantom-guard", True, "a security control that nothing defines"),
     "SLP220": ("corrupted-file", True, "leftovers of a merge or a chat in source"),
+    "SLP230": ("mock-data", True, "placeholder data outside tests"),
     "SLP240": ("ghost-definition", True, "a definition that nothing refers to"),
+    "SLP250": ("cross-language", True, "an idiom of another language"),
 }
 
 
@@ -52,9 +57,13 @@ class Settings:
     prose: float = 0.5
     prose_lines: int = 8
     hedging: tuple[str, ...] = ()
+    guards: tuple[str, ...] = ()
+    placeholders: tuple[str, ...] = ()
+    idioms_allowed: tuple[str, ...] = ()
 
 
 _STOP = frozenset(STOP_WORDS)
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 _DIRECTIVE = re.compile(r"!|(?:pragma|fmt|yapf|isort|type|mypy|pyright|pyre|pylint|ruff):|no(?:qa|sec)(?!\w)|.*coding[:=]", re.I | re.S)
 _DEFER = (
     "just a placeholder|placeholder (?:implementation|value|for now|until)|return a placeholder|for now|in production,? this would|in (?:a|the) real world|real-world|"
@@ -62,7 +71,7 @@ _DEFER = (
 )
 _HEDGE = "hopefully|probably|should work|i (?:think|guess)|not sure if|might (?:need|want)|for simplicity|to keep it simple|(?:adjust|tweak) as needed|your actual|replace this with your|or something|feel free to"
 _NARRATES = re.compile(r"(?:this (?:script|module|class|method|function)|we are going to)(?!\w)", re.I)
-_STEP = re.compile(r"(?:step|phase|part)\s+\d+\s*(?:[:.)\-]|$|\s)", re.I)
+_STEP = re.compile(r"(?:step|phase|part)(?![A-Za-z0-9]).{0,7}?[0-9:]", re.I | re.S)
 _LICENCE = re.compile(r"\(c\)|all rights reserved|licensed under|spdx|copyright", re.I)
 
 
@@ -75,7 +84,7 @@ _DEFER_AT, _HEDGE_AT = _phrase(_DEFER), _phrase(_HEDGE)
 
 def words(text: str) -> set[str]:
     """Lower-cased alphanumeric runs of two bytes or more that are no stop words."""
-    return {w for w in re.findall(r"[^\W_]+", text.lower()) if len(w.encode()) >= 2} - _STOP
+    return {w for w in re.findall(r"[^\W_]+", text.translate(_LOWER)) if len(w.encode()) >= 2} - _STOP
 
 
 def overlap(some: set[str], others: set[str]) -> float:
@@ -113,13 +122,13 @@ def directives(source: M.Source) -> list[dict]:
     """Suppressions: line, and the codes they name; None silences every code of the line."""
     out = []
     for line, _, text in source.comments:
-        found = re.match(r"#+\s*noqa(?![\w])\s*(:?)\s*(.*)", text, re.I)
+        found = re.match(r"#+\s*noqa(?!\w)(?::(.*))?", text, re.S)
         if found:
             codes = []
-            for word in re.split(r"[\s,]+", found[2]) if found[1] else []:
-                if not re.fullmatch("[A-Za-z]+[0-9]+", word):
+            for word in re.split(r"[\s,]+", (found[1] or "").lstrip(" \t,")):
+                if not re.fullmatch("(?=.*[A-Z])(?=.*[0-9])[A-Z0-9]+", word):
                     break
-                codes.append(word.upper())
+                codes.append(word)
             out.append({"line": line, "codes": codes or None})
     return out
 
@@ -137,7 +146,7 @@ def _comments(source: M.Source, s: Settings) -> Iterator[dict]:
         said = words(body)
         if 1 <= len(said) <= 6:
             code = lines[line - 1][:col].strip() or next((x.strip() for x in lines[line:] if x.strip()), "")
-            if overlap(said, words(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", code))) >= s.overlap:
+            if overlap(said, words(code)) >= s.overlap:
                 yield _finding(line, col + 1, "SLP001", "the comment repeats the code")
         if found := tell(body, s.hedging):
             yield _finding(line, col + 1, "SLP004", found[1], found[0])
@@ -168,8 +177,7 @@ def _is_log(node: ast.stmt) -> bool:
     f = node.value.func
     if isinstance(f, ast.Name):
         return f.id == "print"
-    on = M.name_of(f.value) if isinstance(f, ast.Attribute) else None
-    return on in ("log", "logger", "logging") and f.attr in ("debug", "info", "warning", "warn", "error", "exception", "critical")
+    return isinstance(f, ast.Attribute) and f.attr in ("log", "debug", "info", "warn", "warning", "error", "critical", "exception")
 
 
 def _ladder(source: M.Source, node: ast.If) -> tuple[int, str] | None:
@@ -240,15 +248,28 @@ def _first_deep(source: M.Source, body: list[ast.stmt], depth: int, limit: int)
     return None
 
 
-_LOOSE = frozenset("dataclass attrs define frozen mutable s Protocol ABC Enum IntEnum StrEnum Flag IntFlag TypedDict NamedTuple BaseModel TestCase".split())
+_LOOSE_BASES = frozenset("Protocol ABC ABCMeta Enum IntEnum StrEnum Flag IntFlag TypedDict NamedTuple".split())
+
+
+def _root(node: ast.expr) -> str | None:
+    """The first identifier of a name, attribute, call or subscript."""
+    while isinstance(node, (ast.Attribute, ast.Call, ast.Subscript)):
+        node = node.func if isinstance(node, ast.Call) else node.value
+    return node.id if isinstance(node, ast.Name) else None
+
+
+def _is_loose(node: ast.ClassDef) -> bool:
+    """Classes of data and interfaces, whose methods need share nothing."""
+    if any(M.trailing(d) == "dataclass" or _root(d) in ("attr", "attrs") for d in node.decorator_list):
+        return True
+    return any(M.trailing(b) in _LOOSE_BASES for b in node.bases) or any(k.arg == "metaclass" and M.trailing(k.value) == "ABCMeta" for k in node.keywords)
 
 
 def _classes(source: M.Source) -> Iterator[dict]:
     for node in source.classes:
-        told = {M.trailing(x) for x in [*node.bases, *node.decorator_list]}
         methods = [m for m in node.body if isinstance(m, M.DEFS)]
         counted = [m for m in methods if m.name not in M.CONSTRUCTORS]
-        if told.isdisjoint(_LOOSE) and len(counted) >= 3 and (n := M.cohesion(methods)[0]) > 1:
+        if not _is_loose(node) and len(counted) >= 3 and (n := M.cohesion(methods)[0]) > 1:
             line, col = source.name_at(node)
             yield _finding(line, col + 1, "SLP120", f"{len(counted)} methods in {n} parts that share nothing")
 
@@ -268,47 +289,47 @@ def _text(source: M.Source, s: Settings) -> Iterator[dict]:
         yield _finding(1, 1, "SLP080", f"{n} lines; the limit is {s.file_lines}")
 
 
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9_-]*>")
+_LEFTOVERS = (
+    (re.compile("(?:`{3}|~{3})"), "a fence of markdown"), (re.compile(r"(?:<{7}|>{7}|\|{7})"), "a marker of a merge conflict"),
+    (re.compile(r"<(?:[A-Za-z].*|/.*[A-Za-z].*)>$", re.S), "a tag on a line of its own"),
+)
+_SIGN = re.compile(f"[{re.escape(CODE_SIGNS)}]")
+_STATEMENT = frozenset(STATEMENT_WORDS)
 
 
-def _artifact(lines: list[str], skip: frozenset[int] | set[int]) -> dict | None:
+def _artifact(lines: list[str], skip: set[int]) -> dict | None:
+    """The first line that is a leftover; seven = alone may as well underline a title."""
     for number, line in enumerate(lines, 1):
-        if number in skip:
-            continue
-        bare = line.strip()
-        if bare.startswith("```"):
-            return _finding(number, 1, "SLP220", "a fence of markdown", "error")
-        if re.match(r"(?:<{7}|>{7})(?: |$)|={7}$", line):
-            return _finding(number, 1, "SLP220", "a marker of a merge conflict", "error")
-        if _TAG.fullmatch(bare):
-            return _finding(number, 1, "SLP220", "a tag on a line of its own", "error")
+        if number not in skip and (said := next((x for sign, x in _LEFTOVERS if sign.match(line.strip())), None)):
+            return _finding(number, 1, "SLP220", said)
     return None
 
 
 def is_prose(line: str) -> bool:
     found = line.split()
-    plain = sum(re.fullmatch(r"[A-Za-z]+[.,;:!?]?", w) is not None for w in found)
-    return len(found) >= 4 and 4 * plain >= 3 * len(found) and not re.search(r"[=(){}\[\]]", line)
+    return len(found) >= 4 and not _SIGN.search(line) and found[0] not in _STATEMENT
+
+
+def _prose(lines: list[str], skip: set[int], s: Settings) -> dict | None:
+    code = [x for number, x in enumerate(lines, 1) if number not in skip and x.strip() and not x.strip().startswith("#")]
+    if len(code) >= s.prose_lines and sum(map(is_prose, code)) >= s.prose * len(code):
+        return _finding(1, 1, "SLP220", "prose where code should be")
+    return None
 
 
 def check_corrupted(text: str, s: Settings) -> list[dict]:
     """What a file that does not parse is reported for."""
     lines = text.split("\n")
-    if found := _artifact(lines, set()):
-        return [found]
-    code = [x for x in lines if x.strip() and not x.strip().startswith("#")]
-    if len(code) >= s.prose_lines and sum(map(is_prose, code)) >= s.prose * len(code):
-        return [_finding(1, 1, "SLP220", "prose where code should be", "error")]
-    return [_finding(1, 1, "SLP220", "it does not parse", "error")]
+    return [_artifact(lines, set()) or _prose(lines, set(), s) or _finding(1, 1, "SLP220", "it does not parse")]
 
 
 def check(path: str, source: M.Source, s: Settings) -> list[dict]:
     """Findings in the order comments, texts, statements, classes, leftovers."""
     inside: set[int] = set()
     for t in source.tokens:
-        if t.type in (tokenize.STRING, tokenize.COMMENT) or t.string and t.type == M.token.FSTRING_MIDDLE:
+        if t.type in (tokenize.STRING, tokenize.COMMENT, tokenize.FSTRING_START, tokenize.FSTRING_MIDDLE, tokenize.FSTRING_END):
             inside.update(range(t.start[0], t.end[0] + 1))
-    artifact = _artifact(source.lines, inside)
-    return [
-        *_comments(source, s), *_docstrings(source, s), *_text(source, s), *_statements(source, s), *_deep_data(source, s), *_classes(source), *([artifact] if artifact else [])
-    ]
+    told = (("SLP210", leaks.phantom_guards(source, s.guards)), ("SLP230", leaks.placeholders(path, source, s.placeholders)), ("SLP250", leaks.foreign_idioms(source, s.idioms_allowed)))
+    leaked = [_finding(line, column, code, said) for code, found in told for line, column, said in found]
+    leftovers = [x for x in (_artifact(source.lines, inside), _prose(source.lines, inside, s)) if x]
+    return [*_comments(source, s), *_docstrings(source, s), *_text(source, s), *_statements(source, s), *_deep_data(source, s), *_classes(source), *leaked, *leftovers]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as X
 from tessera.operators import graphs, relations
 from tessera.plans import clones, lint, panel, source_catalog
-from tessera.sources import badges, files, rules, stage
+from tessera.sources import badges, files, leaks, rules, stage
 from tessera.sources import measure as M
 
 
@@ -110,7 +110,6 @@ def test_sinks(spark):
     assert json.loads(lint.sarif(rows).collect()[0].value)["version"] == "2.1.0"
     assert lint.agent_lines(rows).count() == 6 and lint.text_lines(rows.limit(0)).collect()[0].value == "No diagnostics."
     assert [r.value for r in lint.markdown(rows).collect()][-1] == "| **total** | 6 |"
-    assert json.loads(badges.endpoint(badges.badge("docs", {"docstring_coverage": 0.9})))["color"] == "brightgreen"
 
 
 def test_copied_functions_are_not_expanded(spark):
@@ -156,3 +155,86 @@ def test_stream(spark, tmp_path):
     query = check.findings(stream).writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
     query.awaitTermination(60)
     assert {r.code for r in spark.table("seen").collect()} == {"SLP004", "SLP010"}
+
+
+def codes(text, path="a.py", **settings):
+    return [(f["line"], f["column"], f["code"]) for f in rules.check(path, M.Source(text), rules.Settings(**settings))]
+
+
+def test_badges():
+    row = {"function_loc_avg": 29.6, "cyclomatic_max": 27, "cyclomatic_worst": "high", "cognitive_max": 0, "cognitive_worst": None, "max_nesting_max": 4, "comment_density": 0.41, "docstring_coverage": 0.8}
+    told = {slug: badges.badge(slug, row)[1:] for slug in badges.BADGES}
+    assert told == {
+        "avg-function-loc": ("30", "brightgreen"), "max-cyclomatic": ("27", "red"), "cyclomatic-risk": ("27 (high)", "red"), "max-cognitive": ("0", "brightgreen"),
+        "cognitive-risk": ("n/a", "brightgreen"), "max-nesting": ("4", "yellow"), "comment-density": ("41%", "red"), "docstring-coverage": ("80%", "brightgreen"),
+    }
+    assert badges.summary(row, ["max-nesting", "nothing", "docstring-coverage"]) == ("tessera", "nesting 4 · docs 80%", "yellow")
+    assert badges.summary(row, ["nothing"]) is None
+    assert set(badges.files(row, ["max-nesting"], ["max-cyclomatic"])) == {"max-nesting.svg", "max-nesting.json", "summary.svg", "summary.json"}
+    assert 'aria-label="a&lt;b: &quot;"' in badges.svg(("a<b", '"', "red")) and json.loads(badges.endpoint(('a"b', "\\", "red")))["label"] == 'a"b'
+
+
+def test_suppressions():
+    def told(comment):
+        return rules.directives(M.Source(f"x = 1  {comment}\n"))
+
+    everything, nothing = [{"line": 1, "codes": None}], []
+    assert [told(f"# {x}") for x in ("noqa", "noqa: ", "noqa (why)", "noqa : X12", "noqa: why X12", "noqa: x12")] == [everything] * 6
+    assert [told(f"# {x}") for x in ("NOQA", "noqaX", "noqa_", "no qa", "see noqa")] == [nothing] * 5
+    assert told("#noqa:A1,B22  because C3")[0]["codes"] == ["A1", "B22"] and told("# noqa: AB1C2")[0]["codes"] == ["AB1C2"]
+
+
+def test_leftovers():
+    def said(text):
+        return [f["message"].split()[1] for f in rules.check_corrupted(text, rules.Settings())]
+
+    assert [said(x + "\n(") for x in ("```python", "    ~~~", "<<<<<<< HEAD", ">>>>>>>", "||||||| base", '<file path="a.py">', "</source>")] == [["fence"]] * 2 + [["marker"]] * 3 + [["tag"]] * 2
+    assert [said(x + "\n(") for x in ("=======", "x < y > z", "<>", "<=>", "</1>")] == [["does"]] * 5
+    prose = "Here is how the parser was put together\nIt reads one incoming token at a time\nEvery stage checks its own inputs first\nThe rest follows from that quite directly\n" * 2
+    assert rules.check_corrupted(prose, rules.Settings())[0]["message"].startswith("prose")
+    asserts = "def test():\n" + "".join(f"    assert field{i} is not None\n" for i in range(9))
+    assert [c for *_, c in codes(asserts) if c == "SLP220"] == []
+    assert [c for *_, c in codes('def f():\n    """Such:\n\n    ```\n    f()\n    ```\n    """\n') if c == "SLP220"] == []
+    assert rules.check_corrupted("```\n", rules.Settings())[0]["severity"] == "warning"
+
+
+def test_words_steps_logs_and_loose_classes():
+    assert rules.words("Was THE compute_totalÉ a of") == {"compute", "totalÉ"}
+    assert [rules.tell(x) is not None for x in ("Step: go", "step-1", "Step one", "stepwise 1", "Phase 2", "part of it all 3", "steps 1")] == [True, True, False, False, True, False, False]
+    log = "try:\n    f()\nexcept Exception as e:\n    {}\n"
+    assert [[c for *_, c in codes(log.format(x))] for x in ("LOG.error(e)", "self.audit.log(e)", "print(e)", "save(e)", "raise")] == [["SLP030"]] * 3 + [[]] + [["SLP030"]]
+    body = "    def f(self):\n        return self.a\n    def g(self):\n        return self.b\n    def h(self):\n        return self.c\n"
+    tight = ("@dataclass(frozen=True)\nclass A:\n", "@attr.s\nclass A:\n", "class A(typing.Protocol[T]):\n", "class A(metaclass=abc.ABCMeta):\n", "class A(Enum):\n")
+    loose = ("@define\nclass A:\n", "@frozen\nclass A:\n", "class A(BaseModel):\n", "class A(TestCase):\n", "class A:\n")
+    assert [[c for *_, c in codes(x + body)] for x in (*tight, *loose)] == [[]] * 5 + [["SLP120"]] * 5
+
+
+def test_phantom_guards():
+    text = "@requires_auth\ndef a(): ...\n@rate_limit(5)\ndef b(): validate_token(x)\n@app.login_required\ndef c(): self.sanitize(x)\n"
+    assert codes(text) == [(1, 2, "SLP210"), (3, 2, "SLP210"), (4, 10, "SLP210")]
+    for bound in ("from m import validate_token\n", "def validate_token(x): ...\n", "class validate_token: ...\n", "validate_token = 1\n", "f = lambda validate_token: 1\n", "import validate_token.x\n", "def f():\n    global validate_token\n"):
+        assert codes(bound + "validate_token(y)\n") == []
+    near = rules.check("a.py", M.Source("def validate_tokn(x): ...\nvalidate_token(1)\nown_guard(2)\n"), rules.Settings(guards=("own_guard",)))
+    assert [f["message"] for f in near] == ["call of validate_token, which nothing here defines; did you mean validate_tokn?", "call of own_guard, which nothing here defines"]
+    within = leaks.within_one_edit
+    assert [within(a, b) for a, b in (("abc", "abd"), ("abc", "ab"), ("ab", "xab"), ("abc", "abc"), ("abc", "acb"), ("a", "abc"), ("abcd", "abxy"), ("", "a"))] == [True] * 4 + [False] * 3 + [True]
+    assert len(leaks.GUARDS) == 76
+
+
+def test_placeholders():
+    text = 'def f():\n    """Write to me@example.com."""\n    return {"mail": "user@example.com", "tel": "123-456-7890"}\n'
+    found = {path: [c for c in codes(text, path) if c[2] == "SLP230"] for path in ("a.py", "a/tests/b.py", "test_x.py", "conftest.py", "a/test/b.py")}
+    assert found["a.py"] == found["a/test/b.py"] == [(3, 21, "SLP230"), (3, 48, "SLP230")] and not any(found[p] for p in ("a/tests/b.py", "test_x.py", "conftest.py"))
+    for line, hit in {
+        'password = "changeme"': 1, 'db_password: str = "Password123"': 1, 'connect(api_key="your-key")': 1, 'token = "xxxx"': 1, 'token_pattern = "secret"': 0, 'password = "gT7#kq"': 0,
+        'x = "00000000-0000-0000-0000-000000000000"': 1, 'x = "550e8400-e29b-41d4-a716-446655440000"': 0, 'x = "111-111-1111"': 1, 'x = "800-800-8000"': 0, 'x = "ann@foo.com"': 0,
+        'x = "ann@shop.test"': 1, 'def g():\n    return "TODO"': 1, 'def g():\n    return {"foo": "bar"}': 1, 'def g():\n    return {"value": x}': 0, 'def g():\n    return {}': 0, 'x = f"a@example.com{y}"': 0,
+    }.items():
+        assert len([c for *_, c in codes(line + "\n") if c == "SLP230"]) == hit, line
+    assert codes('secret = "Ours"\n', placeholders=("ours",)) == [(1, 10, "SLP230")]
+
+
+def test_foreign_idioms():
+    assert codes("a = x.toString()\nb = x.length\nx.length = 3\nprintln(a)\ny.push(1)\nconsole.log(a)\n") == [(1, 7, "SLP250"), (2, 7, "SLP250"), (4, 1, "SLP250")]
+    assert codes("from PyQt5.QtCore import QUrl\na = x.toString()\n") == [] and codes("x.length\n", idioms_allowed=("length",)) == []
+    assert codes("a = (x\n     .charAt)(1)\n") == [(2, 7, "SLP250")]
