@@ -36,6 +36,7 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's class of near-duplicates and the number of vectors near it."""
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -85,13 +86,10 @@ FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id, whole
 """
 
 _NEAR_VECTORS_SQL = f"""
-SELECT vec_id, duplicate_of, round(similarity, 5) AS similarity FROM (
-    SELECT a.vec_id, min(b.vec_id) AS duplicate_of,
-           arg_min(list_cosine_similarity(a.e, b.e), b.vec_id) AS similarity
-    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a
-    JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id < a.vec_id
-    WHERE list_cosine_similarity(a.e, b.e) >= {multi_index.SIMILARITY}
-    GROUP BY a.vec_id)
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {multi_index.SIMILARITY}),
+r AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.other)
+SELECT node AS vec_id, min(other) AS class_id, (SELECT count(*) FROM p WHERE p.a = node) AS links FROM r GROUP BY node
 """
 
 _WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
