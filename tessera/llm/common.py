@@ -54,6 +54,11 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: str, *names: str) -> tuple[str, ...]:
+    """Names of a result's columns beside the id column ``taken``: one that equals it (in any case) gets an underscore."""
+    return tuple(f"{n}_" if n.lower() == taken.lower() else n for n in names)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty texts; zero-copy where Arrow allows it."""
     if isinstance(column, pa.ChunkedArray):

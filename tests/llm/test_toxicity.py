@@ -43,6 +43,9 @@ def test_edge_rows(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     got = X.toxic(docs, labels)
     assert got.columns == ["doc_id", "score", "unit"]
+    for name in ("unit", "SCORE"):  # the id may be called as a column of the result
+        clash = X.toxic(docs.drop("score", "unit").withColumnRenamed("doc_id", name), labels.withColumnRenamed("doc_id", name), id_col=name)
+        assert len(set(map(str.lower, clash.columns))) == 3 and clash.count() == got.count()
     found = {r.doc_id for r in got.collect()}
     assert {i for i in range(0, 90, 3)} | {102, None} == found
     assert X.toxic(docs, labels.where("toxic = 0")).count() == 0 and X.toxic(docs.limit(0), labels).count() == 0
@@ -53,3 +56,35 @@ def test_long_words_are_learnt_to_their_end():
     bad, good = ["donaudampfschifftrottel", "donaudampfschiffidiotin"], ["donaudampfschiffkapitan", "donaudampfschiffmatrose"]
     machine = X._machine(bad, good, 64, 50)
     assert machine.margins(bad).min() > machine.margins(good).max()
+
+
+def test_whole_query_by_brute_force(spark):
+    """Every document scored from the landmarks' coefficients, unit by unit, without the folded table and the stretches' arrays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    machine = X.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    marks, coefficients = machine.support
+    basis, cache = X.dense(marks), {}
+
+    def margin(unit):
+        if unit not in cache:
+            cache[unit] = max(float((X.dense([s]) @ basis.T @ coefficients)[0]) + machine.bias for s in X.windows(unit))
+        return cache[unit]
+
+    got = {r.doc_id: r for r in X.found_by(machine, docs).collect()}
+    rows = docs.collect()
+    assert got and len(got) < 0.3 * len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:120] + [r for r in rows if r.doc_id in got][:20]:
+        best = max(((margin(u), u) for u in X.units(r.text)), key=lambda x: x[0], default=(-np.inf, ""))
+        assert (r.doc_id in got) == (best[0] >= machine.threshold) or abs(best[0] - machine.threshold) < 1e-4
+        if r.doc_id in got:
+            assert got[r.doc_id].score == pytest.approx(best[0] - machine.threshold, abs=1e-3) and margin(got[r.doc_id].unit) == pytest.approx(best[0], abs=1e-3)
+
+
+def test_copies_count_once():
+    many = " ".join(f"wordof{chr(97 + i)}" for i in range(20))
+    bags = [set(X.units(t)) for t in (many, many + " more", "else where")]
+    assert X.copies([*bags, set(), bags[2]]) == [0, 0, 2, 3, 2]
+
+
+def test_letters_beyond_ascii_have_codes_of_their_own():
+    assert len(set(X._codes(["çéñüß"])[0].tolist())) >= 4 and X._codes(["дурак"]).min() >= 27
