@@ -9,11 +9,14 @@ measures in steps - is then trained on the posteriors of a bounded sample
 (``train_rows``) by gradient descent, and scores every document from 0 to 1.
 
 Memory for the votes is bounded by the number of patterns (three to the number of
-labellers), not by the corpus. The sample is taken by a hash of the row.
+labellers), not by the corpus. The sample is taken by a hash of id and text, each pair of them once. Measures are
+made of whole batches in arrays (``measures_of``); ``measures`` says of one text what they are.
 
 Defined results: a null text and one without a word score 0 and are rejected (there is
-nothing to train on); repeated rows and null ids are scored like any row; an empty table
-gives an empty result; other columns are carried along by ``accepted``.
+nothing to train on); a very long text is measured to its end; repeated rows and null ids are scored like any row, equal
+texts alike; a score equal to the threshold is kept; an empty table gives an empty result; other columns are
+carried along by ``accepted``, whatever their names, and where the id column is called score, that
+column of ``accepted_scores`` has an underscore appended.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import mix, slices, text_buffer
+from tessera.llm.common import free_names, mix, slices, text_buffer
 
 DIMENSIONS = 1 << 15
 FUNCTION_WORDS = frozenset(
@@ -78,21 +81,152 @@ def measures(text: str | None) -> tuple[float, ...] | None:
     )
 
 
-def votes(values: tuple[float, ...] | None) -> str:
-    """One character a labeller: b (bad), g (good) or a (abstains)."""
-    if values is None:
-        return "b" * len(LABELLERS)
-    return "".join("b" if v >= bad else "g" if v <= good else "a" for v, (_, bad, good) in zip(values, LABELLERS, strict=True))
+_SPACE, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
+_IS_UPPER, _IS_LOWER, _IS_SYMBOL = (np.isin(np.arange(256), list(of)) for of in (_UPPER, _LOWER, _SYMBOLS))
+_PLACE = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(white space by byte, letter or digit by byte, number of a byte's character, first bytes of characters) of UTF-8."""
+    space, alnum = _SPACE[raw], _ALNUM[raw]
+    lead = (raw & 0xC0) != 0x80
+    first = np.flatnonzero(lead)
+    of = np.cumsum(lead) - 1
+    wide = np.flatnonzero(raw[first] >= 0xC0)
+    if len(wide):
+        at = first[wide]
+        size = np.where(raw[at] >= 0xF0, 4, np.where(raw[at] >= 0xE0, 3, 2))
+        code = raw[at] & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for j in (1, 2, 3):
+            more = size > j
+            code[more] = code[more] << 6 | raw[at[more] + j] & 0x3F
+        kinds, which = np.unique(code, return_inverse=True)
+        letters = np.zeros(len(first), bool)
+        blanks = np.zeros(len(first), bool)
+        letters[wide] = np.array([chr(c).isalnum() for c in kinds.tolist()])[which]
+        blanks[wide] = np.array([chr(c).isspace() for c in kinds.tolist()])[which]
+        beyond = raw >= 0x80
+        alnum[beyond] = letters[of[beyond]]
+        space[beyond] = blanks[of[beyond]]
+    return space, alnum, of, first
+
+
+def _pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, none empty, ascending and apart."""
+    size = end - start
+    owner = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        value = (raw[place + start[owner]].astype(np.uint64) + (place >> 12).astype(np.uint64) * np.uint64(257) + np.uint64(1)) * _PLACE[place & 4095]
+        return mix(np.add.reduceat(value ^ (value >> np.uint64(29)), np.cumsum(size) - size)) if len(start) else np.zeros(0, np.uint64)
+
+
+def _repeated(owner: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, occurrences of the commonest) of each of ``n`` owners."""
+    if len(code) == 0:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    key = np.sort(owner.astype(np.uint64) << np.uint64(40) | code >> np.uint64(24))
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    of = (key[at] >> np.uint64(40)).astype(np.int64)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, of, np.diff(at, append=len(key)))
+    return np.bincount(of, minlength=n), most
+
+
+def measures_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, labellers): what ``measures`` gives of each of consecutive texts; rows of nan where it gives none."""
+    count = len(offsets) - 1
+    out = np.full((count, len(LABELLERS)), np.nan)
+    if len(raw) == 0:
+        return out
+    lo, hi = offsets[:-1], offsets[1:]
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[offsets] = True
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        return sums[hi] - sums[lo]
+
+    space, alnum, char_of, char_at = _characters(raw)
+    ink = ~space
+    start = np.flatnonzero(ink & (np.append(True, space[:-1]) | begin[:-1]))
+    end = np.flatnonzero(ink & (np.append(space[1:], True) | begin[1:])) + 1
+    owner = np.searchsorted(offsets, start, side="right") - 1
+    n = np.bincount(owner, minlength=count)
+    code = _pieces(raw, start, end)
+    same = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
+    distinct, most = _repeated(owner, code, count)
+    mute = np.add.reduceat(alnum, start, dtype=np.int64) == 0 if len(start) else np.zeros(0, bool)
+    last = char_of[end - 1]
+    before = char_at[np.maximum(last - 1, 0)]
+    glued = ~alnum[end - 1] & (before >= start) & (last > 0) & ~alnum[before]
+    # a line of any number of bytes; empty ones share a hash
+    feed = raw == 10
+    lines = per_text(feed) + 1
+    line_start = np.sort(np.concatenate([lo, np.flatnonzero(feed) + 1]))
+    line_text = np.repeat(np.arange(count), lines)
+    line_end = np.append(line_start[1:], len(raw))
+    # a line ends before its feed, and at the end of its text
+    line_end = np.where(line_end > line_start, np.minimum(line_end, hi[line_text]), line_start)
+    closed = (line_end > line_start) & feed[np.maximum(line_end - 1, 0)]
+    line_end = line_end - closed
+    full = line_end > line_start
+    line_code = np.zeros(len(line_start), np.uint64)
+    line_code[full] = _pieces(raw, line_start[full], line_end[full])
+    lines_distinct, _ = _repeated(line_text, line_code, count)
+
+    some = n > 0
+    words, size = np.maximum(n, 1), np.maximum(hi - lo, 1)
+    upper, lower = per_text(_IS_UPPER[raw]), per_text(_IS_LOWER[raw])
+    enough = n >= 20
+    told = np.isin(code, _FUNCTION_CODES)
+    by_word = lambda mask: np.bincount(owner[: len(mask)], mask, minlength=count) / words
+    found = (
+        np.where(upper + lower >= 40, upper / np.maximum(1, upper + lower), 0.0), per_text(_IS_SYMBOL[raw]) / size, by_word(mute), by_word(same),
+        np.where(enough, 1 - distinct / words, 0.0), np.where(enough, most / words, 0.0), np.where(lines >= 3, 1 - lines_distinct / lines, 0.0), by_word(glued),
+        np.where(enough, 1 - by_word(told), 0.9),
+    )
+    out[some] = np.stack(found, axis=1)[some]
+    return out
+
+
+def _codes_of(words: list[str]) -> np.ndarray:
+    data = [w.encode() for w in words]
+    ends = np.cumsum([len(x) for x in data])
+    return _pieces(np.frombuffer(b"".join(data), np.uint8), np.append(0, ends[:-1]), ends)
+
+
+_FUNCTION_CODES = _codes_of(sorted(FUNCTION_WORDS))
+_BAD, _GOOD = (np.array([x[i] for x in LABELLERS]) for i in (1, 2))
+
+
+def votes(values: np.ndarray) -> np.ndarray:
+    """0 (abstains), 1 (bad) or 2 (good) for measures by text and labeller; all bad where there are none."""
+    return np.where(np.isnan(values) | (values >= _BAD), 1, np.where(values <= _GOOD, 2, 0))
+
+
+def patterns(values: np.ndarray) -> np.ndarray:
+    """A number for each text's votes; ``pattern_name`` spells it."""
+    return votes(values) @ 3 ** np.arange(len(LABELLERS))
+
+
+def pattern_name(number: int) -> str:
+    return "".join("abg"[number // 3**i % 3] for i in range(len(LABELLERS)))
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(pattern, count) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
-            seen.update(votes(measures(t)) for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "count"])
+            raw, offsets = text_buffer(batch.column(0))
+            for lo, hi in slices(offsets):
+                seen += np.bincount(patterns(measures_of(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])), minlength=len(seen))
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([pattern_name(i) for i in used.tolist()], pa.string()), pa.array(seen[used])], names=["pattern", "count"])
 
     parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "pattern string, count long")
     return parts.groupBy("pattern").agg(F.sum("count").alias("count"))
@@ -133,10 +267,11 @@ class LabelModel:
         return dict(zip((x[0] for x in LABELLERS), (right / voted).tolist(), strict=True))
 
 
-def _measure_slots(values: tuple[float, ...]) -> list[int]:
-    """Hashed one-hot features: each measure's step on a scale of 16."""
-    codes = np.array([i * 64 + int(16 * min(1.0, max(0.0, v)) ** 0.5) for i, v in enumerate(values)], np.uint64)
-    return (mix(codes + np.uint64(0x5EED)) % np.uint64(DIMENSIONS)).astype(np.int64).tolist()
+def measure_slots(values: np.ndarray) -> np.ndarray:
+    """Hashed one-hot features of measures by text and labeller: each measure's step on a scale of 16."""
+    steps = (16 * np.sqrt(np.clip(values, 0.0, 1.0))).astype(np.uint64)
+    codes = np.arange(values.shape[1], dtype=np.uint64) * np.uint64(64) + steps
+    return (mix(codes + np.uint64(0x5EED)) % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
 def trigram_slots(raw: np.ndarray) -> np.ndarray:
@@ -152,7 +287,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0)
     slots = trigram_slots(np.frombuffer(text.encode(), np.uint8)) if len(text.encode()) > 2 else np.zeros(0, np.int64)
     found, n = np.unique(slots, return_counts=True)
-    own = np.array(_measure_slots(values))
+    own = measure_slots(np.array([values]))[0]
     return np.concatenate([found.astype(np.int64), own]), np.concatenate([n / max(1, len(slots)), np.full(len(own), 1 / len(own))])
 
 
@@ -192,13 +327,12 @@ class Scorer:
                 # sums over a text's own trigrams: a running sum, read two bytes before its end
                 sums = np.concatenate([[0.0], np.cumsum(self.weights[trigram_slots(part)])])
                 total = np.where(n > 2, sums[np.maximum(off[1:] - 2, off[:-1])] - sums[np.minimum(off[:-1], len(sums) - 1)], 0.0)
+            values = measures_of(part, off)
+            some = ~np.isnan(values[:, 0])
             z = self.bias + total / np.maximum(1, n - 2)
-            for i, text in enumerate(texts.slice(lo, hi - lo).to_pylist()):
-                values = measures(text)
-                out[lo + i] = -1 if values is None else z[i] + self.weights[_measure_slots(values)].sum() / len(values)
-                if values is not None:
-                    out[lo + i] = 1 / (1 + np.exp(-np.clip(out[lo + i], -50, 50)))
-        return np.maximum(out, 0.0)
+            z[some] += self.weights[measure_slots(values[some])].mean(axis=1)
+            out[lo:hi] = np.where(some, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
+        return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 3000) -> tuple[LabelModel, Scorer]:
@@ -206,22 +340,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     counts = {r["pattern"]: r["count"] for r in vote_counts(docs, text_col).collect()}  # as many rows as patterns at most
     model = LabelModel(counts)
     total = sum(counts.values())
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.lit(1 << 30))
+    text = F.col(text_col).cast("string")
+    # a text of several rows of one id is one example, so repeated rows neither crowd the sample nor are all left out
+    place = F.xxhash64(F.col(id_col).cast("string"), text, F.lit("quality"))
     share = min(1 << 30, -(-train_rows * (1 << 30) // max(1, total)))
-    sample = docs.where(place < share).select(F.col(text_col).cast("string").alias("t"))
+    sample = docs.select(place.alias("h"), text.alias("t")).where(F.pmod("h", F.lit(1 << 30)) < share)
     posterior = model.posterior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                values = measures(t)
-                if values is not None:
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (values := measures(t)) is not None:
                     slots, x = features(t)
+                    y = posterior.get(pattern_name(int(patterns(np.array([values]))[0])), model.prior)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([slots.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()]), pa.array([posterior.get(votes(values), model.prior)], pa.float64())
-                    ], names=["s", "x", "y"])
+                        pa.array([h], pa.int64()), pa.array([slots.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()]), pa.array([y], pa.float64())
+                    ], names=["h", "s", "x", "y"])
 
-    got = sample.mapInArrow(run, "s binary, x binary, y double").orderBy("s", "x").limit(2 * train_rows).collect()
+    # the bound is of memory only: about train_rows are expected
+    got = sample.mapInArrow(run, "h long, s binary, x binary, y double").dropDuplicates(["h"]).orderBy("h").limit(2 * train_rows).collect()
     rows = [(np.frombuffer(r["s"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in got]
     return model, Scorer(*train(rows, np.array([r["y"] for r in got])))
 
@@ -243,4 +380,6 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def accepted_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = 3000) -> DataFrame:
     """id and score of each document that is kept."""
     _, scorer = fit(docs, id_col, text_col, train_rows)
-    return docs.select(F.col(id_col).alias(id_col), F.round(quality(F.col(text_col), scorer), 6).alias("score")).where(F.col("score") >= threshold)
+    (name,) = free_names(id_col, "score")
+    scored = docs.select(F.col(id_col).alias("i"), quality(F.col(text_col), scorer).alias("s")).where(F.col("s") >= threshold)
+    return scored.select(F.col("i").alias(id_col), F.round("s", 6).alias(name))
