@@ -13,6 +13,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.store import written
 
@@ -52,13 +53,50 @@ def propagation_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(pairs, how="cross").select("nodes", total.alias("reachable_pairs"), F.when(F.col("nodes") > 0, total / (F.col("nodes") * F.col("nodes"))).otherwise(0.0).alias("propagation_cost"))
 
 
+def _grown(start: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(node, label): the least label over the node's own in ``start`` and those of all nodes with a path to it along ``edges`` (src, dst)."""
+    labels = written(start, name)
+    while True:
+        into = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("l")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("l").alias("l"))
+        new = written(labels.join(into, "node", "left").select("node", F.least("label", "l").alias("label")), name)
+        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("not (label <=> old)")
+        labels = new
+        if moved.isEmpty():
+            return labels
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of the nodes on a cycle of more than one node: those that reach each other."""
-    pairs = reachable(edges.where("src != dst"))
-    mutual = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"]).where("src != dst")
-    roots = mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
-    sizes = roots.groupBy("component").agg(F.count("*").alias("size"))
-    return roots.join(sizes, "component").select("node", "component", "size")
+    """(node, component, size) of the nodes on a cycle of more than one node; the component is its smallest node.
+
+    By colouring: every node takes the least node that reaches it, and what reaches a colour's own node within the colour is its component. These
+    leave, with all edges between colours, and the rest is coloured anew. Nodes without an edge in or out are trimmed first. No closure is made:
+    every table has as many rows as nodes or edges.
+    """
+    kind = edges.schema["src"].dataType
+    live = written(edges.where("src != dst").select("src", "dst").distinct(), "edges")
+    found = edges.sparkSession.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
+    while True:
+        count = live.count()
+        while count:
+            inner = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            live = written(inner.select("src", "dst"), "edges")
+            before, count = count, live.count()
+            if count == before:
+                break
+        if not count:
+            break
+        nodes = live.select(F.col("src").alias("node")).distinct()
+        colour = _grown(nodes.withColumn("label", F.col("node")), live, "colours")
+        one, two = colour.toDF("src", "p"), colour.toDF("dst", "q")
+        inside = written(live.join(one, "src").join(two, "dst").where("p = q").select("src", "dst"), "inside")
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = _grown(colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label")), back, "reached").where("label is not null")
+        found = written(found.union(reached.select("node", F.col("label").alias("component"))), "components")
+        gone = reached.select("node")
+        rest = inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        live = written(rest.select("src", "dst"), "edges")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return found.join(sizes, "component").select("node", "component", "size")
 
 
 def longest_path(parents: DataFrame) -> DataFrame:

@@ -46,18 +46,65 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity), a < b, of distinct entries (id, shingles array<long> distinct and not empty) of Jaccard similarity of ``threshold`` or more."""
+#: Members of a bucket that one task compares with one another; larger buckets are split into pairs of blocks.
+BLOCK = 4096
+
+
+def bucket_pairs(keys: np.ndarray, sigs: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b), ``left`` by ``right``, whose share of equal signature bytes is ``low`` or more and which no earlier band has in one bucket."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(left), 256):
+        rows = left[lo : lo + 256]
+        for at in range(0, len(right), 1024):
+            others = right[at : at + 1024]
+            a, b = np.nonzero((sigs[rows][:, None, :] == sigs[others][None, :, :]).mean(axis=2) >= low)
+            a, b = rows[a], others[b]
+            new = ~(keys[a, :band] == keys[b, :band]).any(axis=1)
+            out_a.append(a[new])
+            out_b.append(b[new])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def links(units: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity), a < b, of distinct entries (id, shingles array<long> distinct and not empty) of Jaccard similarity of ``threshold`` or more.
+
+    Buckets hold signatures, one byte a component, and the band keys: a pair is a candidate in the first bucket that it shares, if the
+    signatures agree to within five deviations of the threshold. Only candidates are joined with their shingles.
+    """
     kind = units.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [bands(signature(np.asarray(s.values, np.int64).view(np.uint64))) for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+            sigs = [signature(np.asarray(s.values, np.int64).view(np.uint64)) for s in batch.column(1)]
+            keys = [bands(x) for x in sigs]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([splitmix64(x).astype(np.uint8).tobytes() for x in sigs], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys, pa.list_(pa.int64()))
+            ], names=["id", "sig", "own", "keys"])
 
     units = written(units.select("id", "shingles"), "units")
-    keyed = units.mapInArrow(sketch, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("key"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), F.col("x.key") == F.col("y.key")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sketched = units.mapInArrow(sketch, f"id {kind}, sig binary, own binary, keys array<long>")
+    keyed = written(sketched.select("id", "sig", "own", F.posexplode("keys").alias("band", "key")), "sketches")
+    # lone members of a bucket leave it; a bucket of more than a block is met in pairs of blocks
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    pieces = F.ceil(F.col("n") / block).cast("int")
+    crowded = keyed.join(sizes.select("key", pieces.alias("pieces")), "key")
+    mine = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda x: F.struct(F.least(x, mine).alias("x"), F.greatest(x, mine).alias("y"), mine.alias("own_block")))
+    placed = crowded.select("id", "sig", "own", "band", "key", F.explode(meets).alias("p")).select("id", "sig", "own", "band", "key", "p.*")
+    low = threshold - 5 * (threshold * (1 - threshold) / HASHES) ** 0.5
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").combine_chunks()
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        keys = np.frombuffer(b"".join(table.column("own").to_pylist()), np.int64).reshape(-1, BANDS)
+        of, band = table.column("own_block").to_numpy(), table.column("band")[0].as_py()
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        a, b = bucket_pairs(keys, sigs, band, np.flatnonzero(of == x), np.flatnonzero(of == y), low)
+        if x == y:
+            a, b = a[a < b], b[a < b]
+        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+    pairs = placed.groupBy("key", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = units.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     second = units.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     common = F.size(F.array_intersect("s", "t"))

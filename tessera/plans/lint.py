@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-import sys
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as X
 from tessera.operators import relations
 from tessera.plans import clones
 from tessera.sources import files as names
 from tessera.sources.files import Config
 from tessera.sources.rules import CATALOGUE
 from tessera.sources.stage import Tables
+from tessera.sources.stdlib import NAMES as STANDARD
 
 FANOUT = 15
-ALIASES = {"yaml": "pyyaml", "PIL": "pillow", "cv2": "opencv-python", "bs4": "beautifulsoup4", "sklearn": "scikit-learn", "dateutil": "python-dateutil", "dotenv": "python-dotenv",
-           "jwt": "pyjwt", "git": "gitpython", "serial": "pyserial", "magic": "python-magic", "attr": "attrs", "skimage": "scikit-image", "OpenSSL": "pyopenssl"}
+#: Distributions of modules that have another name.
+ALIASES = {
+    "python-{}": "dateutil docx dotenv jose magic pptx slugify", "py{}": "jwt nacl serial usb yaml zmq",
+    "attrs": "attr", "beautifulsoup4": "bs4", "grpcio": "grpc", "matplotlib": "mpl_toolkits", "opencv-python": "cv2", "pillow": "PIL", "psycopg2-binary": "psycopg2",
+    "pycrypto": "Crypto", "pycryptodome": "Crypto", "pycryptodomex": "Cryptodome", "pymongo": "bson gridfs", "pymupdf": "fitz", "pyopenssl": "OpenSSL", "scikit-image": "skimage",
+    "scikit-learn": "sklearn",
+}
+#: What every environment has without anyone's declaring it.
+ALWAYS = ("_distutils_hack", "pip", "pkg_resources", "setuptools", "wheel")
 _COLUMNS = ("path", "line", "column", "code", "severity", "message")
 
 
@@ -24,8 +33,9 @@ def _as_findings(rows: DataFrame, code: str, message: Column, column: Column | i
     return rows.select("path", F.col("line").cast("long").alias("line"), (F.lit(column) if isinstance(column, int) else column).cast("long").alias("column"), F.lit(code).alias("code"), F.lit("warning").alias("severity"), message.alias("message"))
 
 
-def near_duplicates(facts: Tables) -> DataFrame:
-    return _as_findings(clones.clone_findings(facts.units), "SLP020", F.format_string("%s is %d%% like %s in %s", "name", "percent", "partner_name", "partner_path"))
+def near_duplicates(facts: Tables, config: Config | None = None) -> DataFrame:
+    told = (config or Config()).clone
+    return _as_findings(clones.clone_findings(facts.units, told["min_statements"], told["similarity"]), "SLP020", F.format_string("%s is %d%% like %s in %s", "name", "percent", "partner_name", "partner_path"))
 
 
 def crowded(facts: Tables, limit: int = FANOUT) -> DataFrame:
@@ -33,22 +43,23 @@ def crowded(facts: Tables, limit: int = FANOUT) -> DataFrame:
     return _as_findings(rows, "SLP090", F.format_string("%d files in this directory", "files"))
 
 
-def undeclared(facts: Tables, declared: set[str] | None) -> DataFrame:
-    """Top-level imports that are neither of the standard library nor first-party nor declared, first of each name and file; none without a manifest."""
+def undeclared(facts: Tables, declared: set[str] | None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Imports at a module's top level that are neither of the standard library nor first-party nor declared, one finding each; none without a manifest."""
     top = F.element_at(F.split("module", r"\."), 1)
-    rows = facts.imports.where("top and level = 0 and module is not null").select("path", "line", top.alias("name"))
+    rows = facts.imports.where("top and level = 0 and module is not null").select("path", "line", "column", top.alias("name")).where("name != ''")
     spark = facts.parsed.sparkSession
     if declared is None:
         rows = rows.limit(0)
-    inner = F.regexp_replace(names.normal_path(F.col("path")), "^src/", "")
-    first_party = facts.files.select(F.explode(F.array_distinct(F.transform(F.split(inner, "/"), lambda x: F.regexp_replace(x, r"\.py$", "")))).alias("name"))
-    standard = spark.createDataFrame([(x,) for x in sorted({*sys.stdlib_module_names, "imp"})], "name string")
-    rows = rows.join(F.broadcast(standard), "name", "left_anti").join(first_party.distinct(), "name", "left_anti")
-    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    normal = names_of(F.col("name"))
-    rows = rows.where(~F.coalesce(normal.isin(*sorted(declared or {""})), F.lit(False)) & ~F.coalesce(alias[F.col("name")].isin(*sorted(declared or {""})), F.lit(False)))
-    rows = relations.first_writer(rows, ["path", "name"], ["line"])
-    return _as_findings(rows, "SLP180", F.format_string("%s is not declared", "name"))
+    # a path's first folder, or the file at the top
+    inner = F.regexp_replace(names.normal_path(F.col("path")), "^/*(src/)?", "")
+    first = F.regexp_replace(F.element_at(F.split(inner, "/+"), 1), r"\.py$", "")
+    first_party = facts.files.select(first.alias("name")).where("name != ''").distinct()
+    known = {d for d in map(names.distribution, (*(declared or ()), *extra)) if d}
+    aliased = {m for d, modules in ALIASES.items() for m in modules.split() if d.format(m) in known}
+    spared = spark.createDataFrame([(x,) for x in sorted({*STANDARD, *ALWAYS, *aliased})], "name string")
+    rows = rows.join(F.broadcast(spared), "name", "left_anti").join(first_party, "name", "left_anti")
+    rows = rows.where(~X.normalise_distribution(F.col("name")).isin(*sorted(known or {""})))
+    return _as_findings(rows, "SLP180", F.format_string("%s is not declared", "name"), F.col("column"))
 
 
 def ghosts(facts: Tables) -> DataFrame:
@@ -63,16 +74,12 @@ def ghosts(facts: Tables) -> DataFrame:
     return said.union(_as_findings(undefined, "SLP240", F.format_string("nothing defines the setting %s", "name"), F.col("column")))
 
 
-def names_of(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "[-_.]+", "-")
-
-
 def findings(facts: Tables, config: Config | None = None, declared: set[str] | None = None) -> DataFrame:
     """Selected, unsuppressed findings in order of emission: path, line, column, code, severity, message, emit_seq."""
     config = config or Config()
     wanted = [c for c, (_, preview, _) in CATALOGUE.items() if config.enabled(c, preview)]
     rows = facts.findings.select(*_COLUMNS, "emit_seq").where(F.col("code").isin(*wanted) if wanted else F.lit(False))
-    whole = [("SLP020", lambda: near_duplicates(facts)), ("SLP090", lambda: crowded(facts, config.limits.get("fanout", FANOUT))), ("SLP180", lambda: undeclared(facts, declared)), ("SLP240", lambda: ghosts(facts))]
+    whole = [("SLP020", lambda: near_duplicates(facts, config)), ("SLP090", lambda: crowded(facts, int(config.limit("dir_max_modules")))), ("SLP180", lambda: undeclared(facts, declared, config.extra.get("imports", ()))), ("SLP240", lambda: ghosts(facts))]
     for i, (code, make) in enumerate(whole):
         if code in wanted:
             rows = rows.union(make().withColumn("emit_seq", F.lit(1_000_000 + i).cast("long")))
@@ -125,5 +132,18 @@ def markdown(rows: DataFrame) -> DataFrame:
     return head.union(body).union(total).orderBy("k").select("value")
 
 
-def rule_catalogue(spark) -> DataFrame:
-    return spark.createDataFrame([(c, n, p, e) for c, (n, p, e) in CATALOGUE.items()], "code string, name string, preview boolean, explanation string")
+def rule_catalogue(spark: SparkSession) -> DataFrame:
+    """Every rule: code, name, whether it is in preview, what it says."""
+    return spark.createDataFrame([(c, n, p, e) for c, (n, p, e) in sorted(CATALOGUE.items())], "code string, name string, preview boolean, explanation string")
+
+
+def rule_detail(code: str) -> dict:
+    """One rule by its code, in any case, or its name; an unknown one is an error."""
+    for c, (name, preview, said) in CATALOGUE.items():
+        if code.upper() == c or code.lower() == name:
+            return {"code": c, "name": name, "preview": preview, "explanation": said}
+    raise KeyError(f"there is no rule {code}")
+
+
+def catalogue_json() -> str:
+    return json.dumps([rule_detail(c) for c in sorted(CATALOGUE)], indent=2)

@@ -157,7 +157,7 @@ def fx_clone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_expect(
     'path, line, "column", code',
-    "('proj/b.py',5,1,'SLP020'), ('proj/b.py',17,1,'SLP020'), ('proj/c.py',2,1,'SLP180'), ('proj/c.py',10,5,'SLP030'), ('proj/sub/helper.py',3,8,'SLP010'), ('proj/sub/helper.py',5,4,'SLP040')",
+    "('proj/b.py',5,1,'SLP020'), ('proj/b.py',17,1,'SLP020'), ('proj/c.py',2,8,'SLP180'), ('proj/c.py',10,5,'SLP030'), ('proj/sub/helper.py',3,8,'SLP010'), ('proj/sub/helper.py',5,4,'SLP040')",
 )
 def fx_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = Config(preview=True, ignore=("SLP002", "SLP120", "SLP240"))
@@ -174,7 +174,7 @@ def fx_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_expect(
     "profile, files, functions, cyclomatic_p95, cyclomatic_max, cognitive_max, classes, broad_rate, docstring_coverage, annotation_coverage",
-    "('default',7,7,6,6,5,2,1.0::DOUBLE,round(1/8.0::DOUBLE,9),round(2/7.0::DOUBLE,9)), ('tests',1,2,1,1,0,0,0.0::DOUBLE,0.0::DOUBLE,0.0::DOUBLE)",
+    "('production',7,7,6,6,5,2,1.0::DOUBLE,round(1/8.0::DOUBLE,9),round(2/7.0::DOUBLE,9)), ('tests',1,2,1,1,0,0,0.0::DOUBLE,0.0::DOUBLE,0.0::DOUBLE)",
 )
 def fx_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = facts(spark)

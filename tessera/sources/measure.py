@@ -488,9 +488,11 @@ def imports(source: Source) -> list[dict]:
         for node in body:
             told = {"line": node.lineno, "top": body is source.body, "type_checking": typing, "local": local}
             if isinstance(node, ast.Import):
-                out.extend({"level": 0, "module": a.name, "names": [], **told} for a in node.names)
+                out.extend({"level": 0, "module": a.name, "names": [], **told, "line": a.lineno, "column": source.start(a)[1] + 1} for a in node.names)
             elif isinstance(node, ast.ImportFrom):
-                out.append({"level": node.level, "module": node.module, "names": [a.name for a in node.names], **told})
+                found = re.compile(r"from\s+").match(source.lines[node.lineno - 1], source.start(node)[1])
+                column = found.end() + 1 if found else source.start(node)[1] + 1
+                out.append({"level": node.level, "module": node.module, "names": [a.name for a in node.names], **told, "column": column})
             elif isinstance(node, ast.If):
                 walk(node.body, local, typing or checking(node.test))
                 for _, block in source.clauses(node):

@@ -60,6 +60,14 @@ class Settings:
     guards: tuple[str, ...] = ()
     placeholders: tuple[str, ...] = ()
     idioms_allowed: tuple[str, ...] = ()
+    class_parts: int = 1
+    class_methods: int = 3
+    ignored: tuple[str, ...] = ()
+    comments_allowed: bool = False
+
+    def counts(self, code: str) -> bool:
+        """Not ignored by a profile of the file."""
+        return not (self.ignored and code.startswith(self.ignored)) and not (self.comments_allowed and code == "SLP010")
 
 
 _STOP = frozenset(STOP_WORDS)
@@ -133,6 +141,28 @@ def directives(source: M.Source) -> list[dict]:
     return out
 
 
+def deletions(source: M.Source) -> list[tuple[int, int, int]]:
+    """(first character, end, line) of what goes with each comment that SLP010 reports: its whole line, or with the blanks before it."""
+    at, starts = 0, []
+    for line in source.lines:
+        starts.append(at)
+        at += len(line) + 1
+    out = []
+    for line, col, text in source.comments:
+        body = text.lstrip("#").strip()
+        if is_directive(body) or is_ticketed(body) or (line == 1 and text.startswith("#!")):
+            continue
+        before = source.lines[line - 1][:col]
+        begin = starts[line - 1] + col
+        end = begin + len(text)
+        if before.strip():
+            out.append((begin - (len(before) - len(before.rstrip(" \t"))), end, line))
+        else:
+            end += source.text.startswith("\r", end)
+            out.append((starts[line - 1], end + source.text.startswith("\n", end), line))
+    return out
+
+
 def _finding(line: int, column: int, code: str, message: str, severity: str = "warning") -> dict:
     return {"line": line, "column": column, "code": code, "severity": severity, "message": message}
 
@@ -265,11 +295,11 @@ def _is_loose(node: ast.ClassDef) -> bool:
     return any(M.trailing(b) in _LOOSE_BASES for b in node.bases) or any(k.arg == "metaclass" and M.trailing(k.value) == "ABCMeta" for k in node.keywords)
 
 
-def _classes(source: M.Source) -> Iterator[dict]:
+def _classes(source: M.Source, s: Settings) -> Iterator[dict]:
     for node in source.classes:
         methods = [m for m in node.body if isinstance(m, M.DEFS)]
         counted = [m for m in methods if m.name not in M.CONSTRUCTORS]
-        if not _is_loose(node) and len(counted) >= 3 and (n := M.cohesion(methods)[0]) > 1:
+        if not _is_loose(node) and len(counted) >= s.class_methods and (n := M.cohesion(methods)[0]) > s.class_parts:
             line, col = source.name_at(node)
             yield _finding(line, col + 1, "SLP120", f"{len(counted)} methods in {n} parts that share nothing")
 
@@ -332,4 +362,4 @@ def check(path: str, source: M.Source, s: Settings) -> list[dict]:
     told = (("SLP210", leaks.phantom_guards(source, s.guards)), ("SLP230", leaks.placeholders(path, source, s.placeholders)), ("SLP250", leaks.foreign_idioms(source, s.idioms_allowed)))
     leaked = [_finding(line, column, code, said) for code, found in told for line, column, said in found]
     leftovers = [x for x in (_artifact(source.lines, inside), _prose(source.lines, inside, s)) if x]
-    return [*_comments(source, s), *_docstrings(source, s), *_text(source, s), *_statements(source, s), *_deep_data(source, s), *_classes(source), *leaked, *leftovers]
+    return [*_comments(source, s), *_docstrings(source, s), *_text(source, s), *_statements(source, s), *_deep_data(source, s), *_classes(source, s), *leaked, *leftovers]

@@ -3,7 +3,7 @@
 ``facts`` gives one row a file with its functions, classes, imports, fingerprints and
 findings as arrays; ``tables`` writes that once and explodes it lazily, so a query pays
 for the columns it reads. A file that does not parse keeps its row, with ``parse_error``
-and empty arrays; a null text is read as empty.
+and empty arrays; so does a null text, which could not be read (``scan`` gives null where a file is no UTF-8).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ _ORDERED = {
     "functions": "name:s line column loc cyclomatic cognitive max_nesting params arity ncss exits typed_params annotatable_params has_return_annotation:b has_docstring:b docstring_lines "
     "loop_qty comparisons_qty numbers_qty string_literals_qty math_ops_qty variables_qty unique_words_qty",
     "classes": "name:s line column loc methods attributes lcom4 tcc:x lcc:x lcom_star:x wmc rfc is_abstract:b has_docstring:b docstring_lines bases:S coupled:S static_calls:S",
-    "imports": "line top:b level module:s names:S type_checking:b local:b",
+    "imports": "line column top:b level module:s names:S type_checking:b local:b",
     "units": "name:s line statements shingles:N",
     "findings": "line column code:s severity:s message:s",
     "noqa": "line codes:S",
@@ -51,10 +51,14 @@ _LISTS = "refs:S string_words:S keys:S"
 SCHEMA = T.StructType([*_fields(_FILE), *_fields(_LISTS), *(T.StructField(n, T.ArrayType(T.StructType(_fields(x)))) for n, x in _ORDERED.items())])
 
 
-def file_facts(path: str, text: str | None, settings: rules.Settings) -> dict:
-    text = text or ""
+def file_facts(path: str, text: str | None, settings: rules.Settings | names.Config) -> dict:
+    unreadable, text = text is None, text or ""
+    if isinstance(settings, names.Config):
+        settings = settings.settings_of(path, names.is_generated(path, text))
     row: dict = {f.name: [] if isinstance(f.dataType, T.ArrayType) else 0 for f in SCHEMA}
     row |= {"path": path, "loc": M.count_lines(text), "is_test": M.is_test_path(path), "is_generated": names.is_generated(path, text), "parse_error": None}
+    if unreadable:
+        return row | {"parse_error": "the text can't be read"}
     try:
         source = M.Source(text)
         row |= {
@@ -65,11 +69,12 @@ def file_facts(path: str, text: str | None, settings: rules.Settings) -> dict:
         }
     except (SyntaxError, RecursionError) as e:
         row |= {"parse_error": str(e), "findings": rules.check_corrupted(text, settings)}
+    row["findings"] = [f for f in row["findings"] if settings.counts(f["code"])]
     return row
 
 
-def parse(sources: DataFrame, settings: rules.Settings | None = None) -> DataFrame:
-    """(path, source) rows, of a table or a stream, to one row of facts each; no exchange."""
+def parse(sources: DataFrame, settings: rules.Settings | names.Config | None = None) -> DataFrame:
+    """(path, source) rows, of a table or a stream, to one row of facts each; no exchange. A ``Config`` gives each file the settings of its profiles."""
     settings = settings or rules.Settings()
     arrow = to_arrow_schema(SCHEMA)
 
@@ -83,10 +88,14 @@ def parse(sources: DataFrame, settings: rules.Settings | None = None) -> DataFra
     return sources.select("path", F.col("source").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def facts(sources: DataFrame, settings: rules.Settings | None = None) -> DataFrame:
-    """One row of facts a file: of rows with one path the one of the smallest text."""
+def facts(sources: DataFrame, settings: rules.Settings | names.Config | None = None) -> DataFrame:
+    """One row of facts a file: of rows with one path the one of the smallest text. Only paths are exchanged, and the texts of such rows."""
     rows = sources.select(names.normal_path(F.col("path")).alias("path"), F.col("source").cast("string").alias("source"))
-    return parse(rows.groupBy("path").agg(F.min("source").alias("source")), settings)
+    again = written(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"), "repeated-paths")
+    if again.isEmpty():
+        return parse(rows, settings)
+    once = rows.join(again, "path", "left_semi").groupBy("path").agg(F.min("source").alias("source"))
+    return parse(rows.join(again, "path", "left_anti").union(once), settings)
 
 
 @dataclass
@@ -127,5 +136,5 @@ class Tables:
         return self.exploded("noqa", "seq").drop("seq")
 
 
-def tables(sources: DataFrame, settings: rules.Settings | None = None) -> Tables:
+def tables(sources: DataFrame, settings: rules.Settings | names.Config | None = None) -> Tables:
     return Tables(written(facts(sources, settings), "facts"))
