@@ -262,9 +262,9 @@ def graph_panel(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
     weights = symmetric_weights(names, pairs)
     found = detected_communities(len(names), weights)
     declared, detected = modularity(weights, community), modularity(weights, found)
-    n = len(names)
+    n, of = len(names), dict(zip(nodes["node"], nodes["community"], strict=True))
     return {
-        "modules": n, "tangles": tangles, "runtime_tangles": len(tarjan(names, lasting)), "load_bearing_tangles": len(tarjan(names, runtime)),
+        "modules": n, "edges": len(set(pairs)), "packages": len(set(of.values())), "package_edges": len({(of[a], of[b]) for a, b in pairs if of[a] != of[b]}), "tangles": tangles, "runtime_tangles": len(tarjan(names, lasting)), "load_bearing_tangles": len(tarjan(names, runtime)),
         "largest_tangle": max(map(len, tangles), default=0), "in_cycles": sum(map(len, tangles)),
         "propagation_cost": reach_count(names, pairs) / n**2 if n else 0.0, "q_declared": declared, "q_detected": detected, "modularity_gap": detected - declared,
         "communities": len(set(found)),

@@ -11,17 +11,20 @@ from tessera.operators.store import written
 from tessera.sources import files as names
 
 
-def modules(files: DataFrame) -> DataFrame:
-    """node (a path), module, package, is_package of every file that has a module name; of equal names the last path is the one that imports mean."""
-    found = files.select(F.col("path").alias("node"), names.module_of(F.col("path")).alias("module"), names.is_package(F.col("path")).alias("is_package"))
+def modules(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """node (a path), module, package, is_package of every file that has a module name; of equal names the last path is the one that imports mean.
+
+    ``by`` names columns that keep graphs apart (a profile), here and below.
+    """
+    found = files.select(*by, F.col("path").alias("node"), names.module_of(F.col("path")).alias("module"), names.is_package(F.col("path")).alias("is_package"))
     found = found.where("module is not null").withColumn("package", names.package_of(F.col("module"), F.col("is_package")))
-    last = F.max("node").over(Window.partitionBy("module"))
+    last = F.max("node").over(Window.partitionBy(*by, "module"))
     return found.withColumn("named", F.col("node") == last)
 
 
-def candidates(imports: DataFrame, mods: DataFrame) -> DataFrame:
+def candidates(imports: DataFrame, mods: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, src, candidate, flags) of every name that an import could mean; a relative import above the root means nothing."""
-    rows = imports.join(mods.select(F.col("node").alias("path"), F.col("module").alias("src"), "is_package"), "path")
+    rows = imports.join(mods.select(*by, F.col("node").alias("path"), F.col("module").alias("src"), "is_package"), [*by, "path"])
     parts = F.split("src", r"\.")
     keep = F.when(F.col("is_package"), F.size(parts)).otherwise(F.size(parts) - 1) - (F.col("level") - 1)
     anchor = F.when(F.col("level") == 0, F.array().cast("array<string>")).when(keep >= 0, F.slice(parts, F.lit(1), F.greatest(keep, F.lit(0)).cast("int")))
@@ -30,35 +33,39 @@ def candidates(imports: DataFrame, mods: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", base).where("base is not null")
     every = F.when(F.size("names") == 0, F.array(F.array_join("base", "."))).otherwise(listed)
     runtime = ~F.col("type_checking") & ~F.col("local")
-    return rows.select("path", "src", F.explode(every).alias("candidate"), runtime.alias("runtime"), "type_checking", "local").where("candidate != ''")
+    return rows.select(*by, "path", "src", F.explode(every).alias("candidate"), runtime.alias("runtime"), "type_checking", "local").where("candidate != ''")
 
 
-def module_edges(imports: DataFrame, mods: DataFrame) -> DataFrame:
+def module_edges(imports: DataFrame, mods: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst, runtime, type_checking, local): the candidate itself where it is a module, else its parent; flags or-ed, no self edges."""
-    known = mods.select("module").distinct()
-    tried = candidates(imports, mods).withColumn("parent", F.regexp_extract("candidate", r"^(.*)\.[^.]*$", 1))
-    exact = known.select(F.col("module").alias("candidate"), F.col("module").alias("whole"))
-    above = known.select(F.col("module").alias("parent"), F.col("module").alias("part"))
-    found = tried.join(exact, "candidate", "left").join(above, "parent", "left").withColumn("dst", F.coalesce("whole", "part")).where("dst is not null")
-    return relations.merge_edges(found, ["runtime", "type_checking", "local"])
+    known = mods.select(*by, "module").distinct()
+    tried = candidates(imports, mods, by).withColumn("parent", F.regexp_extract("candidate", r"^(.*)\.[^.]*$", 1))
+    exact = known.select(*by, F.col("module").alias("candidate"), F.col("module").alias("whole"))
+    above = known.select(*by, F.col("module").alias("parent"), F.col("module").alias("part"))
+    found = tried.join(exact, [*by, "candidate"], "left").join(above, [*by, "parent"], "left").withColumn("dst", F.coalesce("whole", "part")).where("dst is not null")
+    return relations.merge_edges(found, ["runtime", "type_checking", "local"], by)
 
 
-def graph_panel(mods: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: modules, tangles under three edge filters, propagation cost, modularities.
+def graph_panel(mods: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: modules, edges, packages, tangles under three edge filters, propagation cost, modularities.
 
-    The sequential algorithms see the whole graph in one task; a project has thousands of
-    modules. ``graphs.reachable`` is the distributed way for larger edge tables.
+    The sequential algorithms see a whole graph in one task; a project has thousands of
+    modules. ``graphs.reachable`` and ``graphs.strongly_connected`` are the distributed ways for larger edge tables.
     """
+    key = by or ("g",)
     schema = (
-        "modules long, tangles array<array<string>>, runtime_tangles long, load_bearing_tangles long, largest_tangle long, in_cycles long, propagation_cost double, "
-        "q_declared double, q_detected double, modularity_gap double, communities long"
+        "modules long, edges long, packages long, package_edges long, tangles array<array<string>>, runtime_tangles long, load_bearing_tangles long, largest_tangle long, "
+        "in_cycles long, propagation_cost double, q_declared double, q_detected double, modularity_gap double, communities long"
     )
-    left = mods.select(F.lit(1).alias("g"), F.when(F.col("named"), F.col("module")).otherwise(F.col("node")).alias("node"), F.col("package").alias("community"), F.col("node").alias("path"))
+    one = F.lit("all").alias("g")
+    left = mods.select(*(by or (one,)), F.when(F.col("named"), F.col("module")).otherwise(F.col("node")).alias("node"), F.col("package").alias("community"), F.col("node").alias("path"))
+    right = edges if by else edges.withColumn("g", F.lit("all"))
 
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([graphs.graph_panel(nodes.sort_values("path"), links.sort_values(["src", "dst"]))])
+    def run(at: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([dict(zip(key, at, strict=True)) | graphs.graph_panel(nodes.sort_values("path"), links.sort_values(["src", "dst"]))])
 
-    return left.groupBy("g").cogroup(edges.withColumn("g", F.lit(1)).groupBy("g")).applyInPandas(run, schema)
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, ", ".join(f"{k} string" for k in key) + ", " + schema)
+    return found if by else found.drop("g")
 
 
 def packages(mods: DataFrame, edges: DataFrame, files: DataFrame, classes: DataFrame) -> DataFrame:

@@ -44,9 +44,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return per.groupBy("node").agg(F.sum("o").cast("long").alias("fan_out"), F.sum("i").cast("long").alias("fan_in"), F.count("*").alias("cbo_modified"))
 
 
-def merge_edges(edges: DataFrame, flags: list[str]) -> DataFrame:
-    """One row an edge, its flags or-ed."""
-    return edges.where("src != dst").groupBy("src", "dst").agg(*[F.bool_or(f).alias(f) for f in flags])
+def merge_edges(edges: DataFrame, flags: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row an edge (of each value of ``by``), its flags or-ed."""
+    return edges.where("src != dst").groupBy(*by, "src", "dst").agg(*[F.bool_or(f).alias(f) for f in flags])
 
 
 def martin_metrics(ce: Column, ca: Column, abstract: Column, classes: Column) -> tuple[Column, Column, Column]:
@@ -97,6 +97,19 @@ def concentration(sizes: DataFrame, group: str, size: str) -> DataFrame:
     )
 
 
+def concentration_by(sizes: DataFrame, by: str, group: str, size: str) -> DataFrame:
+    """``concentration`` as a struct for each value of ``by``; ranks within it, by distinct sizes."""
+    counts = sizes.groupBy(by, F.col(size).cast("long").alias("x")).agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumn("b", before).groupBy(by).agg(
+        F.sum("c").alias("groups"), F.sum(F.col("x") * F.col("c")).alias("total"), F.sum(F.col("x") * F.col("c") * (2 * F.col("b") + F.col("c") + 1) / 2).alias("w")
+    )
+    top = sizes.groupBy(by).agg(F.min(F.struct(F.negative(F.col(size).cast("long")).alias("n"), F.col(group).alias("g"))).alias("t"))
+    n, total = F.col("groups"), F.col("total")
+    share, gini = F.try_divide(-F.col("t.n"), total), 2.0 * F.col("w") / (n * total) - (n + 1) / n
+    return sums.join(top, by).select(by, F.struct("groups", "total", F.col("t.g").alias("largest"), share.alias("max_share"), gini.alias("gini")).alias("concentration"))
+
+
 def crowded_directories(files: DataFrame, limit: int, path: str = "path") -> DataFrame:
     """Directories of more than ``limit`` files, with the count and the first file."""
     directory = F.regexp_replace(F.col(path), "/?[^/]*$", "")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,56 @@ _MARKERS = ("swagger-codegen", "openapi-generator", "do not edit", "@generated")
 HEADER_LINES = 40
 
 
+def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file (a path of this machine's, or a URI) and its path there."""
+    return pafs.FileSystem.from_uri(folder if re.match("[a-z][a-z0-9+.-]*:/", folder) else str(Path(folder).resolve()))
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the Python and .gitignore files below a folder. The driver lists one level, tasks what is below it.
+
+    Spark's own readers leave out names that begin with a stroke or a dot, ``__init__.py`` among them.
+    """
+    fs, root = _opened(folder)
+    first = [(f.path, f.type == pafs.FileType.Directory) for f in fs.get_file_info(pafs.FileSelector(root))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _opened(folder)
+        for batch in batches:
+            for path, below in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.type == pafs.FileType.File] if below else [path]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p in found if p.endswith((".py", "/.gitignore"))], pa.string())], names=["path"])
+
+    rows = spark.createDataFrame(first, "path string, below boolean")
+    return rows.repartition(max(1, min(len(first), spark.sparkContext.defaultParallelism))).mapInArrow(run, "path string")
+
+
+def _read(paths: DataFrame, folder: str) -> DataFrame:
+    """(path, source); null for what can't be read or is no UTF-8."""
+
+    def text(fs: pafs.FileSystem, path: str) -> str | None:
+        try:
+            with fs.open_input_file(path) as file:
+                return file.read().decode()
+        except (OSError, UnicodeDecodeError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _opened(folder)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.column(0).slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([part, pa.array([text(fs, p) for p in part.to_pylist()], pa.string())], names=["path", "source"])
+
+    return paths.select("path").mapInArrow(run, "path string, source string")
+
+
 def scan(spark: SparkSession, *folders: str) -> DataFrame:
-    """(path, source) of every .py file below the folders; bytes that are no UTF-8 give a null source."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(list(folders))
-    return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.expr("if(is_valid_utf8(content), cast(content as string), null)").alias("source"))
+    """(path, source) of every .py file below the folders; what is no UTF-8 or can't be read has a null source."""
+    found = spark.createDataFrame([], "path string, source string")
+    for folder in folders:
+        found = found.union(_read(_listed(spark, folder).where(F.col("path").endswith(".py")).repartition("path"), folder))
+    return found
 
 
 def discover(spark: SparkSession, *paths: str) -> tuple[DataFrame, list[str]]:
@@ -30,26 +78,21 @@ def discover(spark: SparkSession, *paths: str) -> tuple[DataFrame, list[str]]:
 
     Below a folder, hidden files and folders are left out and so is what .gitignore files from the folder down say; a file that is named is taken.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    named, folders, missing = [], [], []
+    found, missing = spark.createDataFrame([], "path string, source string"), []
     for path in paths or (".",):
-        place = hadoop.Path(path)
-        system = place.getFileSystem(conf)
-        if not system.exists(place):
+        fs, root = _opened(path)
+        kind = fs.get_file_info(root).type
+        if kind == pafs.FileType.NotFound:
             missing.append(path)
+        elif kind == pafs.FileType.File:
+            found = found.union(_read(spark.createDataFrame([(root,)] if root.endswith(".py") else [], "path string"), path))
         else:
-            whole = re.sub("^file:/*", "/", system.makeQualified(place).toString())
-            (folders if system.getFileStatus(place).isDirectory() else named).append(whole)
-    none = spark.createDataFrame([], "path string, source string")
-    found = scan(spark, *[p for p in named if p.endswith(".py")]) if any(p.endswith(".py") for p in named) else none
-    for folder in folders:
-        ignores = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ".gitignore").load(folder)
-        # a project's ignore files are a few small ones
-        texts = [(re.sub("^file:/*", "/", r["path"]), r["text"]) for r in ignores.select("path", F.col("content").cast("string").alias("text")).collect()]
-        patterns = sorted((p[len(folder) :].strip("/").rpartition("/")[0], t) for p, t in texts)
-        inner = F.substring(F.col("path"), len(folder.rstrip("/")) + 2, 1 << 20)
-        found = found.union(scan(spark, folder).where(~ignored(inner, patterns)))
+            listed = _listed(spark, path)
+            # a project's ignore files are a few small ones
+            texts = _read(listed.where(F.col("path").endswith("/.gitignore")), path).where("source is not null").collect()
+            patterns = sorted((r["path"][len(root) :].strip("/").rpartition("/")[0], r["source"]) for r in texts)
+            inner = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
+            found = found.union(_read(listed.where(F.col("path").endswith(".py") & ~ignored(inner, patterns)).repartition("path"), path))
     return found.dropDuplicates(["path"]), missing
 
 
