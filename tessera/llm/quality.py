@@ -85,7 +85,19 @@ _SPACE, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
 _IS_UPPER, _IS_LOWER, _IS_SYMBOL = (np.isin(np.arange(256), list(of)) for of in (_UPPER, _LOWER, _SYMBOLS))
-_PLACE = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: An odd factor and its inverse modulo 2^64: a range's hash is its share of one running sum, whatever its place.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, at least, of the factor and of its inverse."""
+    if len(_POWERS[0]) < n:
+        size = 1 << int(n - 1).bit_length()
+        for i, base in enumerate((_FACTOR, _INVERSE)):
+            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base))])
+    return _POWERS
 
 
 def _characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,26 +125,31 @@ def _characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return space, alnum, of, first
 
 
-def _pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, none empty, ascending and apart."""
-    size = end - start
-    owner = np.repeat(np.arange(len(start)), size)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    with np.errstate(over="ignore"):
-        value = (raw[place + start[owner]].astype(np.uint64) + (place >> 12).astype(np.uint64) * np.uint64(257) + np.uint64(1)) * _PLACE[place & 4095]
-        return mix(np.add.reduceat(value ^ (value >> np.uint64(29)), np.cumsum(size) - size)) if len(start) else np.zeros(0, np.uint64)
+def _sums(raw: np.ndarray) -> np.ndarray:
+    """Running sum of a buffer's bytes times powers of the factor, from 0."""
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw))[0][: len(raw)], out=out[1:])
+    return out
+
+
+def _pieces(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    return mix((sums[end] - sums[start]) * _powers(len(sums))[1][start])
 
 
-def _repeated(owner: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct codes, occurrences of the commonest) of each of ``n`` owners."""
+def _repeated(n: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, occurrences of the commonest) of owners of ``n`` codes each, in a row."""
+    count = len(n)
     if len(code) == 0:
-        return np.zeros(n, np.int64), np.zeros(n, np.int64)
-    key = np.sort(owner.astype(np.uint64) << np.uint64(40) | code >> np.uint64(24))
+        return np.zeros(count, np.int64), np.zeros(count, np.int64)
+    owner = np.repeat(np.arange(count, dtype=np.uint64), n)
+    key = np.sort(owner << np.uint64(40) | code >> np.uint64(24))
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     of = (key[at] >> np.uint64(40)).astype(np.int64)
-    most = np.zeros(n, np.int64)
-    np.maximum.at(most, of, np.diff(at, append=len(key)))
-    return np.bincount(of, minlength=n), most
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    most = np.zeros(count, np.int64)
+    most[of[first]] = np.maximum.reduceat(np.diff(at, append=len(key)), first)
+    return np.bincount(of, minlength=count), most
 
 
 def measures_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -145,19 +162,23 @@ def measures_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begin = np.zeros(len(raw) + 1, bool)
     begin[offsets] = True
 
+    full = np.flatnonzero(hi > lo)
+
     def per_text(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask)])
-        return sums[hi] - sums[lo]
+        counts = np.zeros(count, np.int64)
+        counts[full] = np.add.reduceat(mask, lo[full], dtype=np.int64)
+        return counts
 
     space, alnum, char_of, char_at = _characters(raw)
     ink = ~space
     start = np.flatnonzero(ink & (np.append(True, space[:-1]) | begin[:-1]))
     end = np.flatnonzero(ink & (np.append(space[1:], True) | begin[1:])) + 1
-    owner = np.searchsorted(offsets, start, side="right") - 1
-    n = np.bincount(owner, minlength=count)
-    code = _pieces(raw, start, end)
+    n = np.diff(np.searchsorted(start, offsets))
+    owner = np.repeat(np.arange(count), n)
+    sums = _sums(raw)
+    code = _pieces(sums, start, end)
     same = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
-    distinct, most = _repeated(owner, code, count)
+    distinct, most = _repeated(n, code)
     mute = np.add.reduceat(alnum, start, dtype=np.int64) == 0 if len(start) else np.zeros(0, bool)
     last = char_of[end - 1]
     before = char_at[np.maximum(last - 1, 0)]
@@ -165,23 +186,22 @@ def measures_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # a line of any number of bytes; empty ones share a hash
     feed = raw == 10
     lines = per_text(feed) + 1
-    line_start = np.sort(np.concatenate([lo, np.flatnonzero(feed) + 1]))
+    feeds = np.flatnonzero(feed)
+    line_start = np.sort(np.concatenate([lo, feeds + 1]))
     line_text = np.repeat(np.arange(count), lines)
     line_end = np.append(line_start[1:], len(raw))
     # a line ends before its feed, and at the end of its text
     line_end = np.where(line_end > line_start, np.minimum(line_end, hi[line_text]), line_start)
     closed = (line_end > line_start) & feed[np.maximum(line_end - 1, 0)]
     line_end = line_end - closed
-    full = line_end > line_start
-    line_code = np.zeros(len(line_start), np.uint64)
-    line_code[full] = _pieces(raw, line_start[full], line_end[full])
-    lines_distinct, _ = _repeated(line_text, line_code, count)
+    lines_distinct, _ = _repeated(lines, _pieces(sums, line_start, np.maximum(line_end, line_start)))
 
     some = n > 0
     words, size = np.maximum(n, 1), np.maximum(hi - lo, 1)
     upper, lower = per_text(_IS_UPPER[raw]), per_text(_IS_LOWER[raw])
     enough = n >= 20
-    told = np.isin(code, _FUNCTION_CODES)
+    which = _FUNCTION_AT[(code & np.uint64(0xFFFF)).astype(np.int64)]
+    told = _FUNCTION_CODES[which] == code
     by_word = lambda mask: np.bincount(owner[: len(mask)], mask, minlength=count) / words
     found = (
         np.where(upper + lower >= 40, upper / np.maximum(1, upper + lower), 0.0), per_text(_IS_SYMBOL[raw]) / size, by_word(mute), by_word(same),
@@ -195,10 +215,15 @@ def measures_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _codes_of(words: list[str]) -> np.ndarray:
     data = [w.encode() for w in words]
     ends = np.cumsum([len(x) for x in data])
-    return _pieces(np.frombuffer(b"".join(data), np.uint8), np.append(0, ends[:-1]), ends)
+    return _pieces(_sums(np.frombuffer(b"".join(data), np.uint8)), np.append(0, ends[:-1]), ends)
 
 
+#: Hashes of the function words, each at the place that its last two bytes name.
 _FUNCTION_CODES = _codes_of(sorted(FUNCTION_WORDS))
+_FUNCTION_AT = np.zeros(1 << 16, np.int64)
+_FUNCTION_AT[(_FUNCTION_CODES & np.uint64(0xFFFF)).astype(np.int64)] = np.arange(len(_FUNCTION_CODES))
+if len(set((_FUNCTION_CODES & np.uint64(0xFFFF)).tolist())) < len(_FUNCTION_CODES):
+    raise AssertionError("two function words share a place")
 _BAD, _GOOD = (np.array([x[i] for x in LABELLERS]) for i in (1, 2))
 
 
@@ -378,8 +403,14 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def accepted_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = 3000) -> DataFrame:
-    """id and score of each document that is kept."""
+    """id and score of each document that is kept. In Arrow batches: as a column the scorer would run once for the filter and once for the result."""
     _, scorer = fit(docs, id_col, text_col, train_rows)
-    (name,) = free_names(id_col, "score")
-    scored = docs.select(F.col(id_col).alias("i"), quality(F.col(text_col), scorer).alias("s")).where(F.col("s") >= threshold)
-    return scored.select(F.col("i").alias(id_col), F.round("s", 6).alias(name))
+    schema = T.StructType([docs.schema[id_col], T.StructField(*free_names(id_col, "score"), T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = scorer(batch.column(1))
+            at = np.flatnonzero(scores >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.round(scores[at], 6))], names=schema.names)
+
+    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
