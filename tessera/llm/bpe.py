@@ -8,7 +8,10 @@ valid UTF-8 in between; bytes that are no UTF-8 as a whole become U+FFFD in the
 
 Defined results: a null text gives null ids and a null count; an empty text no ids and 0;
 repeated rows and null ids of documents are encoded like any other; an empty table gives
-an empty result; special tokens in a text are ordinary text.
+an empty result; special tokens in a text are ordinary text; a very long text without a
+safe place is encoded in one piece. Columns called like those that are made are replaced by
+``encode`` and ``decode``; where the id column has such a name, ``round_trip``'s has an
+underscore appended. The rank file must be where every executor can read it.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import free_names
+
 #: The folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 RANKS = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
@@ -122,7 +127,7 @@ def decode(rows: DataFrame, ids_col: str = "token_ids", text_col: str = "text",
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, piece_chars: int = 1 << 15) -> DataFrame:
     """id, n_tokens, token_ids, and whether the ids' raw bytes are exactly the text's (``exact``; null for a null text)."""
     schema = T.StructType([
-        docs.schema[id_col], T.StructField("n_tokens", T.IntegerType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())
+        docs.schema[id_col], *(T.StructField(n, k) for n, k in zip(free_names(id_col, "n_tokens", "token_ids", "exact"), (T.IntegerType(), T.ArrayType(T.IntegerType()), T.BooleanType()), strict=True))
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ The rows are exchanged once, after the last round, straight into their shard's p
 Keys are whole numbers (a null key sorts below all). Rows of equal keys stay together, so
 a shard can pass its target by its last key's bytes, and hot keys can leave shards empty.
 
-Defined results: a null or empty text weighs 0 bytes; with all texts empty everything is
+Defined results: a null or empty text weighs 0 bytes, a very long one all of its own, in one shard; with all texts empty everything is
 in shard 0; repeated rows are all kept; an empty table gives an empty result; other
 columns are carried along, and one called like the shard column is replaced.
 """
@@ -22,53 +22,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
 #: The null key's place, below every other key.
 LOWEST = -(2**63)
+#: Probes in a round at most, so far as there are fewer unsettled splitters; changes the number of rounds only.
+MOST_PROBES = 1 << 20
 
 
-def splitters(pairs: DataFrame, shards: int, tolerance: float = 0.0, probes: int = 15) -> list[int]:
+def splitters(pairs: DataFrame, shards: int, tolerance: float = 0.0, probes: int = 15) -> np.ndarray:
     """``shards`` - 1 ascending keys; shard i holds the keys above splitter i - 1 up to splitter i.
 
     ``pairs`` has key (long, not null) and bytes (long). ``tolerance`` is a share of a shard's target.
     """
     low, high, total = pairs.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
     if low is None or shards < 2:
-        return []
-    targets = [-(-total * i // shards) for i in range(1, shards)]
+        return np.zeros(0, np.int64)
+    targets = np.array([-(-total * i // shards) for i in range(1, shards)], np.int64)
     slack = int(tolerance * total / shards)
     # for each splitter: keys (a, b] hold it; b is known to reach the target
-    bounds = [(low - 1, high) for _ in targets]
-    found: list[int | None] = [None] * len(targets)
-    while any(x is None for x in found):
-        points: set[int] = set()
-        for i, (a, b) in enumerate(bounds):
-            if found[i] is None:
-                if b - a <= 1:
-                    found[i] = b
-                else:
-                    steps = min(probes, b - a - 1)
-                    points |= {a + (b - a) * j // (steps + 1) for j in range(1, steps + 1)} - {a, b}
-        if not points:
-            continue
-        probe = np.array(sorted(points), np.int64)
+    a, b = np.full(len(targets), low - 1, np.int64), np.full(len(targets), high, np.int64)
+    while True:
+        apart = b.view(np.uint64) - a.view(np.uint64)
+        live = np.flatnonzero(apart > 1)
+        if len(live) == 0:
+            return b
+        # splitters of one interval share its probes; targets ascend, and so do intervals
+        own = live[np.append(True, (a[live][1:] != a[live][:-1]) | (b[live][1:] != b[live][:-1]))]
+        probe = _points(a[own], apart[own], max(1, min(probes, MOST_PROBES // len(own))))
         below = _bytes_at_or_below(pairs, probe)
-        for i, target in enumerate(targets):
-            if found[i] is not None:
-                continue
-            near = np.flatnonzero((abs(below - target) <= slack) & (below > 0)) if slack else []
-            if len(near):
-                found[i] = int(probe[near[np.argmin(abs(below[near] - target))]])
-                continue
-            a, b = bounds[i]
-            at = int(np.searchsorted(below, target, side="left"))
-            bounds[i] = (max(a, int(probe[at - 1])) if at else a, min(b, int(probe[at])) if at < len(probe) else b)
-    return sorted(found)
+        at = np.searchsorted(below, targets[live], side="left")
+        before, here = np.maximum(at - 1, 0), np.minimum(at, len(probe) - 1)
+        a[live] = np.where(at > 0, np.maximum(a[live], probe[before]), a[live])
+        b[live] = np.where(at < len(probe), np.minimum(b[live], probe[here]), b[live])
+        if slack:
+            off = np.abs(below[np.stack([before, here])] - targets[live]) + np.where(below[np.stack([before, here])] > 0, 0, total + 1)
+            near = np.where(off[0] <= off[1], before, here)
+            done = off.min(axis=0) <= slack
+            b[live[done]] = probe[near[done]]
+            a[live[done]] = b[live[done]] - 1
+
+
+def _points(a: np.ndarray, apart: np.ndarray, probes: int) -> np.ndarray:
+    """Up to ``probes`` keys evenly within each interval of ``apart`` keys above ``a``, ascending, each once."""
+    steps = np.minimum(apart - np.uint64(1), np.uint64(probes))
+    j = np.arange(1, probes + 1, dtype=np.uint64)[None, :]
+    share, rest = np.divmod(apart, steps + np.uint64(1))
+    places = a.view(np.uint64)[:, None] + share[:, None] * j + rest[:, None] * j // (steps + np.uint64(1))[:, None]
+    return np.unique(places[j <= steps[:, None]].view(np.int64))
 
 
 def _bytes_at_or_below(pairs: DataFrame, probes: np.ndarray) -> np.ndarray:
@@ -89,20 +93,17 @@ def _bytes_at_or_below(pairs: DataFrame, probes: np.ndarray) -> np.ndarray:
     return np.cumsum(sums)[:-1]
 
 
-def shard_of(key: Column, cuts: list[int]) -> Column:
-    """The number of splitters below the key: a binary search inside the JVM, in as many steps as the splitters have bits."""
-    if not cuts:
+def shard_of(key: Column, cuts: np.ndarray, spark: SparkSession) -> Column:
+    """The number of splitters below the key, by binary search in Arrow batches of keys; the splitters travel once to each executor."""
+    if len(cuts) == 0:
         return F.lit(0)
-    array = F.array(*[F.lit(x).cast("long") for x in cuts])
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    start = F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b"))
+    sent = spark.sparkContext.broadcast(cuts)
 
-    def step(s: Column, _: Column) -> Column:
-        middle = F.shiftright(s["a"] + s["b"], 1)
-        above = (s["a"] < s["b"]) & (F.element_at(array, F.least(middle + 1, F.lit(len(cuts)))) < key)
-        return F.struct(F.when(above, middle + 1).otherwise(s["a"]).alias("a"), F.when(above | (s["a"] >= s["b"]), s["b"]).otherwise(middle).alias("b"))
+    @F.arrow_udf("int")
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(sent.value, keys.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
 
-    return F.aggregate(steps, start, step, lambda s: s["a"])
+    return run(key)
 
 
 def histogram_sort(
@@ -115,6 +116,6 @@ def histogram_sort(
     pairs = materialise(docs.select(key.alias("key"), size.alias("bytes")), "pairs")
     total = pairs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(least_shards, -(-total // shard_bytes))
-    cuts = splitters(pairs, shards, tolerance, probes) if total else []
-    marked = docs.withColumn(shard_col, shard_of(key, cuts).cast("int"))
+    cuts = splitters(pairs, shards, tolerance, probes) if total else np.zeros(0, np.int64)
+    marked = docs.withColumn(shard_col, shard_of(key, cuts, docs.sparkSession).cast("int"))
     return marked.repartitionById(shards, F.col(shard_col)).sortWithinPartitions(shard_col, key_col)

@@ -25,7 +25,8 @@ Defined results: vectors that are null, have a null or non-finite entry or anoth
 than most (of lengths equally common the smaller counts), and zero vectors are near
 nothing: of no link and of their own class; equal vectors are near each other, with equal ids
 too; rows with a null id are compared like any, and a class of null ids only has none; an
-empty table gives an empty result; other columns, whatever their names, are not read.
+empty table gives an empty result; other columns, whatever their names, are not read, and a
+column of the result that has the id column's name has an underscore appended.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise
+from tessera.llm.common import free_names, materialise
 from tessera.llm.probminhash import components
 
 SIMILARITY, TARGET_RECALL = 0.95, 0.995
@@ -249,8 +250,9 @@ def near_duplicates(
         per = per.select("m", "i", "n", F.coalesce("root", "m").alias("root"), F.coalesce("others", F.lit(0)).alias("others"))
     least = per.groupBy("root").agg(F.min("i").alias("class"))
     per = per.join(least, "root").select("m", "class", (F.col("others") + F.col("n") - 1).alias("links"))
+    class_col, links_col = free_names(id_col, "class_id", "links")
     out = rows.select("i", "m").join(per, "m", "left")
-    return out.select(F.col("i").alias(id_col), F.when(F.col("links").isNull(), F.col("i")).otherwise(F.col("class")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select(F.col("i").alias(id_col), F.when(F.col("links").isNull(), F.col("i")).otherwise(F.col("class")).alias(class_col), F.coalesce("links", F.lit(0)).cast("long").alias(links_col))
 
 
 def _links(entries: DataFrame, n: int, count: int, similarity: float, target_recall: float, per_cell: int, block: int) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,8 @@ and verified links are joined into groups by alternating large-star and small-st
 Equal texts are one node throughout and are never compared.
 
 Defined results: null texts are never near anything and always stay; texts without a
-word are near only equal texts; of a text of under k words the whole is the shingle; a
+word are near only equal texts; of a text of under k words the whole is the shingle; very long
+texts are read to their end; a
 group's survivor is its smallest id (nulls last), ties by the text's digest; of wholly
 repeated rows one stays; an empty table has no groups; other columns are carried along
 and may have any name but ``__tessera_*``.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import gram_hashes, materialise, mix, slices, text_buffer, word_hashes
+from tessera.llm.common import free_names, gram_hashes, materialise, mix, slices, text_buffer, word_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -337,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of wholly repeated survivors one stays
     nth = F.row_number().over(Window.partitionBy("m", "d").orderBy("keep"))
     again = member.where("first").withColumn("nth", nth).where("nth > 1").drop("nth")
-    return member.where("not first").union(again).select(F.col("d").alias(id_col), F.col("keep").alias("duplicate_of"))
+    return member.where("not first").union(again).select(F.col("d").alias(id_col), F.col("keep").alias(*free_names(id_col, "duplicate_of")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

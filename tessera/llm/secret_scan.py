@@ -14,8 +14,11 @@ reversed automaton back to the leftmost start, so matches are leftmost-longest a
 not overlap within a rule.
 
 Defined results: a null or empty text has no findings; a null id is reported as null;
-repeated rows are each scanned; an empty table gives an empty result; other columns are
-neither read nor returned by ``scan`` and pass through ``redact`` untouched.
+repeated rows are each scanned; very long texts and lines are scanned to their end; where
+matches of one rule begin at one place the longest counts, and where those of several rules
+overlap ``redact`` masks all they cover; an empty table gives an empty result; other columns are
+neither read nor returned by ``scan`` and pass through ``redact`` untouched; a column of
+``scan``'s that has the id column's name has an underscore appended.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, text_buffer
+from tessera.llm.common import free_names, slices, text_buffer
 
 SEPARATOR = 0xFF
 WORD = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
@@ -400,11 +403,9 @@ class Scanner:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a finding: id, rule, nth (from 1, within the text and rule), start_byte, end_byte, secret. Row-local; no shuffle."""
-    ids = docs.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField(id_col, ids), T.StructField("rule", T.StringType()), T.StructField("nth", T.IntegerType()),
-        T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType()), T.StructField("secret", T.StringType()),
-    ])
+    names = free_names(id_col, "rule", "nth", "start_byte", "end_byte", "secret")
+    kinds = (T.StringType(), T.IntegerType(), T.LongType(), T.LongType(), T.StringType())
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
     scanner = _scanner(rules)
 

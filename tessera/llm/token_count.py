@@ -8,8 +8,9 @@ array. What survives of a sequence is its number of tokens. A merged symbol's nu
 its rank, so the rank of a pair is the number of its bytes' token.
 
 Defined results: a null text has a null count, an empty text 0; repeated rows and null
-ids are counted like any other row; an empty table gives an empty result; other columns
-are not read.
+ids are counted like any other row, equal texts alike; very long texts are counted to their end;
+an empty table gives an empty result; other columns are not read, and where the id column is
+called n_tokens the count's column has an underscore appended.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import PATTERN, RANKS, _small, read_ranks
+from tessera.llm.common import free_names
 
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens whose counts a worker remembers; beyond it starts afresh. Changes speed only.
@@ -136,7 +138,7 @@ def _merger(path: str) -> Merger:
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """id and n_tokens of every row. Row-local; no shuffle."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField(*free_names(id_col, "n_tokens"), T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, split, known = _merger(ranks), regex.compile(pattern), {}

@@ -17,8 +17,9 @@ Words are runs of ASCII letters or digits, lower-cased, and non-ASCII characters
 
 Defined results: a null or empty text, or one without words, has no spans; an empty
 benchmark contaminates nothing; null ids are reported as null (benchmark items without an
-id are still sought); repeated rows of a document are each reported; other columns are
-neither read nor changed.
+id are still sought); repeated rows of a document are each reported, and of a span that
+occurs twice each occurrence; very long texts are read to their end; other columns are
+neither read nor changed, whatever their names but ``__tessera_*``.
 """
 
 from __future__ import annotations
@@ -214,10 +215,16 @@ def _by_join(docs: DataFrame, items: DataFrame, schema: T.StructType, id_col: st
     pairs = texts.select(key.alias("n"), "d", "t").join(sides, "n").select("d", "t", "i", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Fingerprints] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                text, item = _words_of([batch.column(1)[row].as_py(), batch.column(3)[row].as_py()])
-                if found := Fingerprints([item], span_words, gram).search(text, np.array([0, len(text)])):
+                item = batch.column(3)[row].as_py()
+                if item not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[item] = Fingerprints(_words_of([item]), span_words, gram)
+                (text,) = _words_of([batch.column(1)[row].as_py()])
+                if found := known[item].search(text, np.array([0, len(text)])):
                     _, _, a, b, n = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
                     at = pa.array([row] * len(found))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), a, b, n], names=schema.names)
