@@ -96,8 +96,7 @@ def class_panel(classes: DataFrame) -> DataFrame:
     modified = either.groupBy(*key).agg(F.count("*").alias("cbo_modified"))
     # a child counts once for each distinct base that it names, and each definition of it counts
     noc = classes.select(*key, F.explode(F.array_distinct("bases")).alias("base")).groupBy(F.col("base").alias("name")).agg(F.count("*").alias("noc"))
-    calls = classes.select(*key, F.explode("static_calls").alias("target")).join(known.withColumnRenamed("name", "target"), "target", "left_semi")
-    nosi = calls.groupBy(*key).agg(F.count("*").alias("nosi"))
+    nosi = relations.known_uses(classes.select(*key, F.explode("static_calls").alias("target")), known.withColumnRenamed("name", "target"), key, "target", "nosi")
     depth = depths(classes)
     out = classes.join(depth, "name", "left").join(noc, "name", "left").join(fan_in, "name", "left").join(cbo, key, "left").join(modified, key, "left").join(nosi, key, "left")
     return out.na.fill(0, ["dit", "noc", "cbo", "fan_in", "cbo_modified", "nosi"]).withColumn("fan_out", F.col("cbo"))

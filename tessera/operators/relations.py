@@ -27,6 +27,11 @@ def without_match(rows: DataFrame, candidates: Column, known: DataFrame, key: li
     return rows.join(missed, key, "left_semi")
 
 
+def known_uses(uses: DataFrame, known: DataFrame, key: list[str], on: str, count: str) -> DataFrame:
+    """How many rows of ``uses`` each key has whose name is known, with multiplicity: a semi join never repeats them."""
+    return uses.join(known.select(on), on, "left_semi").groupBy(*key).agg(F.count("*").alias(count))
+
+
 def lowest_partner(pairs: DataFrame) -> DataFrame:
     """For each member of pairs (a, b, similarity) its partner of lowest number, with the similarity in whole percent."""
     both = pairs.select(F.col("a").alias("member"), F.col("b").alias("partner"), "similarity").union(pairs.select("b", "a", "similarity"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 #: Shuffle files of a finished write are of no more use; with this setting Spark drops them at its end.
@@ -26,6 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
             _own.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         folder = _own[0]
     path = f"{folder.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -36,3 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete every table that this process has written here, once what was made of them is written elsewhere; how many."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_made)
+    while _made:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        place.getFileSystem(conf).delete(place, True)
+    return done

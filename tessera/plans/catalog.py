@@ -243,7 +243,7 @@ def j15_nosi_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A semi join that keeps multiplicity."""
     large = _table(spark, sf_dir, "part").where("p_size >= 40").select(F.col("p_partkey").alias("l_partkey"))
     line = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
-    return line.join(large, "l_partkey", "left_semi").groupBy("l_suppkey").agg(F.count("*").alias("sites"))
+    return relations.known_uses(line, large, ["l_suppkey"], "l_partkey", "sites")
 
 
 @_query(f"""

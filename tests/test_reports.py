@@ -172,3 +172,11 @@ def test_links_against_all_pairs(spark, block):
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.85}
     rows = similarity.links(spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>"), block=block).collect()
     assert len(rows) == len({(r.a, r.b) for r in rows}) and {(r.a, r.b) for r in rows} <= want and len(rows) >= 0.995 * len(want) > 300
+
+
+def test_intermediates_can_be_forgotten(spark):
+    from tessera.operators import store
+
+    store.forget(spark)
+    table = store.written(spark.range(3), "some")
+    assert table.count() == 3 and store.forget(spark) == 1 and store.forget(spark) == 0
