@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 21
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,7 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """Write ``df`` once as Parquet in the shared folder and read it back: computed once, lineage cut, shuffle files dropped."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -54,6 +56,16 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete every table that ``materialise`` has written in this process, once what was made of them is written elsewhere; how many."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_made)
+    while _made:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        place.getFileSystem(conf).delete(place, True)
+    return done
+
+
 def free_names(taken: str, *names: str) -> tuple[str, ...]:
     """Names of a result's columns beside the id column ``taken``: one that equals it (in any case) gets an underscore."""
     return tuple(f"{n}_" if n.lower() == taken.lower() else n for n in names)
