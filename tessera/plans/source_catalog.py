@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import modules as graph
-from tessera.plans import clones, lint, panel
-from tessera.sources import stage
-from tessera.sources.files import Config, file_profiles
+from tessera.plans import clones, lint, panel, reports
+from tessera.sources import badges, fixes, stage
+from tessera.sources.files import Config, file_profiles, rooted_modules
 
 PROJECT = {
     "proj/__init__.py": "",
@@ -192,6 +192,121 @@ def fx_test_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.test_proxies(facts(spark).files).select(*names)
 
 
+#: A second project, of what generated code leaves behind.
+LEFT = {
+    "app/__init__.py": "",
+    "app/auth.py": '''import yaml
+import requests, app
+from os import path
+
+
+@requires_auth
+def remove(user):
+    validate_token(user.token)
+    sanitise = user.name.toString()
+    return "TODO"
+
+
+def connect(host):
+    return host.open(password="changeme", mail="admin@example.com", size=host.names.length)
+
+
+# was for the step before
+class Loose:
+    def a(self):
+        return self.x
+
+    def b(self):
+        return self.y
+
+    def c(self):
+        return self.z
+''',
+    "app/broken.py": "```python\nx = (\n",
+    "tests/test_auth.py": '''import pytest
+
+
+def test_one():
+    a = "user@example.com"
+    b = a.upper()
+    assert b == a  # noqa: SLP010
+    # gone
+
+
+def test_two():
+    c = "user@example.com"
+    d = c.upper()
+    assert d == c
+''',
+}
+
+
+def _left(spark: SparkSession) -> stage.Tables:
+    return stage.tables(spark.createDataFrame(sorted(LEFT.items()), "path string, source string"))
+
+
+@_expect(
+    'path, line, "column", code',
+    "('app/auth.py',6,2,'SLP210'), ('app/auth.py',8,5,'SLP210'), ('app/auth.py',9,26,'SLP250'), ('app/auth.py',10,12,'SLP230'), ('app/auth.py',14,31,'SLP230'), "
+    "('app/auth.py',14,48,'SLP230'), ('app/auth.py',14,85,'SLP250'), ('app/auth.py',18,7,'SLP120'), ('app/broken.py',1,1,'SLP220')",
+)
+def fx_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = Config(preview=True, select=("SLP12", "SLP21", "SLP22", "SLP23", "SLP25"))
+    return lint.findings(_left(spark), config).select("path", "line", "column", "code")
+
+
+@_expect('path, line, "column", message', "('app/auth.py',2,8,'requests is not declared'), ('tests/test_auth.py',1,8,'pytest is not declared')")
+def fx_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a manifest that declares PyYAML alone."""
+    return lint.undeclared(_left(spark), {"PyYAML"}).select("path", "line", "column", "message")
+
+
+@_expect("profile, pairs, in_clones, functions, largest_cluster", "('production',0,0,5,0), ('tests',1,2,2,2)")
+def fx_profile_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _left(spark)
+    return clones.clone_stats(t.units, file_profiles(t.files, Config())).select("profile", "pairs", "in_clones", "functions", "largest_cluster")
+
+
+@_expect("path, fixed, lines", "('app/__init__.py',0,1), ('app/auth.py',1,26), ('app/broken.py',0,3), ('tests/test_auth.py',1,14)")
+def fx_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixes.fixed(spark.createDataFrame(sorted(LEFT.items()), "path string, source string"))
+    return rows.select("path", "fixed", F.size(F.split("source", "\n")).cast("long").alias("lines"))
+
+
+@_expect("line, codes", "(1,'all'), (2,'SLP010,E501'), (3,'all'), (4,'all')")
+def fx_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "a = 1  # noqa\nb = 2  # noqa: SLP010, E501 for now\nc = 3  # noqa : X1\nd = 4  # noqa: e501\ne = 5  # NOQA\nf = 6  # noqaX\n"
+    rows = stage.tables(spark.createDataFrame([("a.py", text)], "path string, source string")).noqa
+    return rows.select("line", F.coalesce(F.array_join("codes", ","), F.lit("all")).alias("codes"))
+
+
+@_expect("path, module", "('app/__init__.py','app'), ('app/auth.py','app.auth'), ('app/broken.py','app.broken'), ('tests/test_auth.py','test_auth')")
+def fx_module_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rooted_modules(spark.createDataFrame([(p,) for p in LEFT], "path string"))
+
+
+@_expect("slug, message, colour", "('max-cyclomatic','6','brightgreen'), ('cyclomatic-risk','6 (low)','brightgreen'), ('max-nesting','2','brightgreen'), ('docstring-coverage','12%','red')")
+def fx_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = facts(spark)
+    row = panel.panel(t.files, t.functions, graph.class_panel(t.classes), file_profiles(t.files, Config())).where("profile = 'production'").first().asDict()
+    told = [(slug, *badges.badge(slug, row)[1:]) for slug in ("max-cyclomatic", "cyclomatic-risk", "max-nesting", "docstring-coverage")]
+    return spark.createDataFrame(told, "slug string, message string, colour string")
+
+
+@_expect("profile, modules, edges, packages, clone_pairs, largest", "('production',7,5,3,1,'proj'), ('tests',1,0,1,0,'tests')")
+def fx_profile_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.panels(facts(spark))
+    return rows.select("profile", "graph.modules", "graph.edges", "graph.packages", F.col("clones.pairs").alias("clone_pairs"), "concentration.largest")
+
+
+@_expect("n, keys, file_loc", "(9,24,22)")
+def fx_function_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions in the feed, fields of a line, and the length of the first one's file."""
+    rows = reports.function_lines(facts(spark)).withColumn("j", F.from_json("value", "map<string,string>"))
+    first = F.min_by(F.col("j")["file_loc"], F.concat(F.col("j")["file"], F.col("j")["function"])).cast("long")
+    return rows.agg(F.count("*").alias("n"), F.max(F.size("j")).cast("long").alias("keys"), first.alias("file_loc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
