@@ -348,6 +348,11 @@ def a23_edge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.merge_edges(edges, ["late", "large"])
 
 
+@_query("SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '[-_.]+', '-', 'g'), '^-|-$', '', 'g') AS name FROM pages")
+def x6_normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", X.normalise_distribution(F.col("url")).alias("name"))
+
+
 @_query("SELECT DISTINCT CASE WHEN value IS NULL THEN '' ELSE lower(event_type) END AS name FROM events ORDER BY 1")
 def o1_sorted_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")

@@ -307,6 +307,97 @@ def fx_function_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.max(F.size("j")).cast("long").alias("keys"), first.alias("file_loc"))
 
 
+#: A third project: one function, one class and one module of which every count is small.
+COUNTED = {
+    "f.py": '''def f(a, b=1, *c):
+    """Doc."""
+    for x in c:
+        if a < x <= 2:
+            a = a + 3 * x
+    return [y for y in "ab" if y != 'c']
+''',
+    "c.py": '''from abc import ABC, abstractmethod
+
+
+class A:
+    def __init__(self):
+        self.a = 1
+
+    def f(self):
+        return self.a
+
+    def g(self):
+        return self.a + self.b
+
+    def h(self):
+        return self.b
+
+
+class B(ABC):
+    @abstractmethod
+    def f(self): ...
+''',
+    "m.py": '''# Why.
+"""Doc."""
+import os
+
+LIMIT = (1, -2)
+for i in os.listdir():
+    print(i)
+
+if __name__ == "__main__":
+    print()
+''',
+}
+
+
+def _counted(spark: SparkSession) -> stage.Tables:
+    return stage.tables(spark.createDataFrame(sorted(COUNTED.items()), "path string, source string"))
+
+
+@_expect("name, params, arity, loop_qty, comparisons_qty, numbers_qty, string_literals_qty, math_ops_qty", "('f',3,3,2,3,2,3,2)")
+def fx_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("name", "params", "arity", "loop_qty", "comparisons_qty", "numbers_qty", "string_literals_qty", "math_ops_qty")
+    return _counted(spark).functions.where("path = 'f.py'").select(*names)
+
+
+@_expect("name, methods, attributes, lcom4, tcc, lcc, lcom_star, is_abstract", "('A',4,2,1,round(2/3.0::DOUBLE,9),1.0::DOUBLE,0.5::DOUBLE,false), ('B',1,0,1,0.0::DOUBLE,0.0::DOUBLE,0.0::DOUBLE,true)")
+def fx_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [F.round(c, 9).alias(c) for c in ("tcc", "lcc", "lcom_star")]
+    return _counted(spark).classes.select("name", "methods", "attributes", "lcom4", *rounded, "is_abstract")
+
+
+@_expect("path, loc, comment_lines, nloc, top_level_code, function_code", "('m.py',10,1,7,2,0), ('f.py',6,0,6,0,5)")
+def fx_file_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark).files.where("path in ('m.py', 'f.py')").select("path", "loc", "comment_lines", "nloc", "top_level_code", "function_code")
+
+
+@_expect("files, comment_density, top_level_ratio_avg, top_level_ratio_max, undecomposed_files, god_units, max_logic_function_loc, function_loc_max", "(1,0.1::DOUBLE,1.0::DOUBLE,1.0::DOUBLE,0,0,0,0)")
+def fx_panel_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stage.tables(spark.createDataFrame([("m.py", COUNTED["m.py"])], "path string, source string"))
+    row = panel.panel(t.files, t.functions, graph.class_panel(t.classes), file_profiles(t.files, Config()))
+    whole = [F.col(c).cast("long").alias(c) for c in ("undecomposed_files", "god_units", "max_logic_function_loc", "function_loc_max")]
+    return row.select("files", "comment_density", "top_level_ratio_avg", "top_level_ratio_max", *whole)
+
+
+@_expect("code, n", "('SLP010',1), ('SLP020',2), ('SLP030',1), ('SLP040',1), ('SLP180',1)")
+def fx_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.by_code(lint.findings(facts(spark), Config(preview=True, ignore=("SLP002", "SLP120", "SLP240")), {"requests"}))
+
+
+@_expect(
+    "sink, value",
+    "('agent','app/broken.py:1:1: SLP220 a fence of markdown'), ('text','app/broken.py: 1:1 SLP220 [warning] a fence of markdown'), "
+    "('json','{\"findings\":[{\"path\":\"app/broken.py\",\"code\":\"SLP220\",\"message\":\"a fence of markdown\",\"severity\":\"warning\",\"line\":1,\"column\":1}]}'), "
+    "('markdown','| code | findings |'), ('markdown','| --- | ---: |'), ('markdown','| SLP220 | 1 |'), ('markdown','| **total** | 1 |')",
+)
+def fx_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lint.findings(_left(spark), Config(preview=True, select=("SLP22",)))
+    sinks = (("agent", lint.agent_lines), ("text", lint.text_lines), ("json", lint.json_document), ("markdown", lint.markdown))
+    told = [make(rows).select(F.lit(name).alias("sink"), "value") for name, make in sinks]
+    return told[0].union(told[1]).union(told[2]).union(told[3])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

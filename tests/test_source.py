@@ -238,3 +238,11 @@ def test_foreign_idioms():
     assert codes("a = x.toString()\nb = x.length\nx.length = 3\nprintln(a)\ny.push(1)\nconsole.log(a)\n") == [(1, 7, "SLP250"), (2, 7, "SLP250"), (4, 1, "SLP250")]
     assert codes("from PyQt5.QtCore import QUrl\na = x.toString()\n") == [] and codes("x.length\n", idioms_allowed=("length",)) == []
     assert codes("a = (x\n     .charAt)(1)\n") == [(2, 7, "SLP250")]
+
+
+def test_payloads(spark):
+    from tessera.streaming import check
+
+    rows = [('{"tool_input": {"file_path": "a.py"}, "file_path": "c.py"}',), ('{"file_path": "b.py"}',), ("{}",), ("no json",), (None,)]
+    got = spark.createDataFrame(rows, "p string").select(check.payload_path(F.col("p")).alias("f")).collect()
+    assert [r.f for r in got] == ["a.py", "b.py", None, None, None]
