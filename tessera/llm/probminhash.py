@@ -15,7 +15,10 @@ at most four deviations below the threshold is a candidate with it, and one that
 above is done in this bucket. What is not done goes on with the next leader, all buckets
 of a batch at once, so no candidate is dropped by a cap and near copies by the thousand
 cost one comparison each. As nearness is not transitive, the done members of a leader are
-then compared with the members of other leaders, until a share that high joins the two. Candidates are verified by the exact J_P of their shingle sets,
+then compared with the members of other leaders, until a share that high joins the two. A bucket of
+more than ``block`` members is split into blocks by their digests, and every two blocks meet in a
+task of their own: no bucket is held whole, each pair meets somewhere, and the members are sent
+once for every other block. Candidates are verified by the exact J_P of their shingle sets,
 and verified links are joined into groups by alternating large-star and small-star steps.
 Equal texts are one node throughout and are never compared.
 
@@ -40,6 +43,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import free_names, gram_hashes, materialise, mix, slices, text_buffer, word_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
+#: Members of a bucket that a task compares at most with as many others.
+BLOCK = 1 << 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,6 +196,15 @@ def _links_of_done(of: np.ndarray, sig: np.ndarray, low: float, high: float) ->
             joined[np.isin(joined, joined[part[sure]])] = joined[leader]
 
 
+def _blocked(sized: DataFrame, block: int) -> DataFrame:
+    """(key, m) of buckets (key, m, n): those of n over ``block`` become one bucket for every two of their blocks."""
+    blocks = F.ceil(F.col("n") / block)
+    mine = F.pmod(F.xxhash64("m"), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != mine)
+    pairs = F.transform(others, lambda j: F.xxhash64("key", F.least(mine, j), F.greatest(mine, j)))
+    return sized.select(F.explode(F.when(blocks > 1, pairs).otherwise(F.array("key"))).alias("key"), "m")
+
+
 def _candidates(crowded: DataFrame, signed: DataFrame, size: int, threshold: float) -> DataFrame:
     """(m, l) of the members of each bucket (key, m) that a signature's estimate leaves in question, each pair once."""
     deviation = (threshold * (1 - threshold) / size) ** 0.5
@@ -302,15 +316,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_links(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, links): m and d of every row with a text; (m, l, similarity) of the verified links between distinct texts."""
     sketch = materialise(_sketch(docs, id_col, text_col, k, bands, rows), "sketch")
     texts = sketch.groupBy("m").agg(F.first("keys").alias("keys"))
     buckets = texts.select("m", F.explode("keys").alias("key"))
-    # lone members of a bucket leave it
-    crowded = buckets.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "m")
-    crowded = materialise(crowded, "buckets")
+    # lone members of a bucket leave it; sizes are counted before the exchange and written, so that a hot key's side of the join can be split
+    sizes = materialise(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    crowded = materialise(_blocked(buckets.join(sizes, "key"), block), "buckets")
     signed = sketch.select("m", "sig").join(crowded.select("m").distinct(), "m", "left_semi").dropDuplicates(["m"])
     edges = materialise(_candidates(crowded, signed, bands * rows, threshold), "candidates")
     nodes = edges.select("m").union(edges.select("l")).distinct()

@@ -76,6 +76,26 @@ def test_many_copies_and_shared_passage(spark):
     assert got == dict.fromkeys(range(1, 100), 0)
 
 
+def test_every_two_members_of_a_split_bucket_meet(spark):
+    rows = [(1, 2, 1), *((7, i, 10) for i in range(10))]
+    sized = spark.createDataFrame(rows, "key long, m long, n long")
+    met = {}
+    for r in P._blocked(sized, 3).collect():
+        met.setdefault(r.key, set()).add(r.m)
+    assert met.pop(1) == {2}
+    assert {frozenset((a, b)) for ms in met.values() for a in ms for b in ms if a < b} == {frozenset((a, b)) for a in range(10) for b in range(a)}
+
+
+def test_split_buckets_give_the_same_groups(spark):
+    rng = np.random.default_rng(3)
+    base = [f"b{x}" for x in rng.integers(0, 5000, 120)]
+    near = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(60)]
+    apart = [" ".join(f"z{x}" for x in rng.integers(0, 50_000, 150)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(near + apart)), "doc_id long, text string")
+    got = {r.doc_id: r.duplicate_of for r in P.near_duplicates(docs, block=7).collect()}
+    assert got == dict.fromkeys(range(1, 60), 0)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=20), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=20))
 def test_probability_jaccard(a, b):
