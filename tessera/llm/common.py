@@ -66,6 +66,18 @@ def forget(spark: SparkSession) -> int:
     return done
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``materialise`` has returned and that nothing still to be computed reads."""
+    for df in frames:
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            mine = next((x for x in _made if path.rsplit("/", 1)[1] == x.rsplit("/", 1)[1]), None)
+            if mine is not None:
+                place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(mine)
+                place.getFileSystem(conf).delete(place, True)
+                _made.remove(mine)
+
+
 def free_names(taken: str, *names: str) -> tuple[str, ...]:
     """Names of a result's columns beside the id column ``taken``: one that equals it (in any case) gets an underscore."""
     return tuple(f"{n}_" if n.lower() == taken.lower() else n for n in names)

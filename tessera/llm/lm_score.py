@@ -14,17 +14,29 @@ how they are partitioned.
 
 One suffix automaton of a reference that grows with the corpus fits no worker, and parts of
 it would have to meet every document. So its states are named by hashes of the factors
-that lead to them and kept apart by hash: stepping from a factor of L words to one of
-L + 1 is asking if the longer one's name is there. Texts are cut into segments where the
-hash of two adjacent words says so (``BREAK`` words on average, ``LONGEST`` at most);
-shared passages are cut alike, and no phrase crosses a cut, as none crosses from one text
-to the next. Factors of one to three words are asked for in a first round; longer ones in
-a second, and only in runs whose every factor of three words is elsewhere. A round
-exchanges each batch's distinct factors as sorted byte arrays by bucket and sends back two
-bits for each: in another row, in how many good rows. The hash names of a bucket are
-40 bits long beyond its number, so that a bucket's size bounds the share of wrong answers
-(some 10^-6); the work grows in proportion to the corpus, ``LONGEST``^2 / 2 names a segment
-at most. A factor that a third of all rows hold is one entry a batch.
+that lead to them and kept apart by hash: whether a factor is a state is asking if its name
+is there. Phrases may be of any length, and asking for every factor of a copied text would
+take the square of its length, so a few names stand for all:
+
+* Factors of one to ``START`` = 8 words are all asked for: those of one to three words in a
+  first round, longer ones in a second, only where all three words of every run are elsewhere.
+* Then one round for each doubling of m = 8, 16, ...: the factors of 2m words, where both
+  halves are elsewhere; and of the lengths between only those that a longest match can be. The
+  end of the match that begins at a word never falls from one word to the next. It grows only
+  where some other row has the match after another word, and it ends only where some row goes
+  on otherwise. So it is enough to begin at factors of m words that follow different words (or
+  begin a text) and to end with ones that different words follow (or that end a text), which
+  copies of a passage lack but for its ends. In a row's own repetition of a short period a
+  start asks only for what the start a period before it has not asked.
+
+A round exchanges each batch's distinct factors as sorted byte arrays by bucket and sends back
+a byte for each: in another row, in how many good rows, after and before different words. After
+the second round, only the stretches of text whose every factor of m words is elsewhere go on.
+The hash names of a bucket are 40 bits long beyond its number, so that a bucket's size bounds
+the share of wrong answers (some 10^-6); the words beside a factor are told apart by 24 bits.
+A factor that a third of all rows hold is one entry a batch. Names grow in proportion to the
+corpus and the logarithm of its longest repeated passage; beside that a passage of which many
+unlike versions exist asks for up to m names a word where each word of it is an end and a start.
 
 Defined results: a null text or one without a word has 0 words and phrases and null
 scores; a word is a run of ASCII letters and digits (lower-cased) and non-ASCII
@@ -40,6 +52,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,34 +60,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import free_names, materialise, mix, text_buffer, word_hashes
+from tessera.llm.common import discard, free_names, materialise, mix, text_buffer, word_hashes
 
-BREAK, LONGEST = 8, 24
-#: Bytes of text in a batch, and of names in a bucket, on average.
+#: Factors of up to so many words are all asked for.
+START = 8
+#: Bytes of text in a batch, and of the text or of the names in a bucket, on average.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 _BASE, _GOLD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def cuts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word of consecutive texts the number of the word after its segment's last."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    new = np.zeros(n, bool)
-    with np.errstate(over="ignore"):
-        new[1:] = mix((words[:-1] * _GOLD) ^ words[1:]) % np.uint64(BREAK) == 0
-    new[first[:-1][first[:-1] < n]] = True
-    start = np.flatnonzero(new)
-    size = np.diff(start, append=n)
-    # a segment longer than LONGEST is cut every LONGEST words
-    pieces = (size - 1) // LONGEST + 1
-    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(start, pieces) + nth * LONGEST
-    return np.repeat(np.append(start[1:], n), np.diff(start, append=n))
+    """For each word of consecutive texts the number of the word after the last that a phrase may hold: its text's end."""
+    return np.repeat(first[1:], np.diff(first))
 
 
 class Factors:
-    """Names of the factors of a batch's texts, by length; a factor lies within a segment."""
+    """Names of the factors of a batch's texts, by length; a factor lies within a text."""
 
     def __init__(self, words: np.ndarray, first: np.ndarray) -> None:
         self.words, self.first = words, first
@@ -112,7 +113,7 @@ def short(factors: Factors) -> tuple[np.ndarray, list[np.ndarray]]:
 def longer(factors: Factors, threes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The same of four words and more, where every factor of three words in it is in ``threes`` (by the first word)."""
     names, places, run = [np.zeros(0, np.uint64)], [], threes
-    for length in range(4, LONGEST + 1):
+    for length in range(4, START + 1):
         factors.grow()
         run = run[:-1] & threes[length - 3 :] if len(run) else run
         n = len(run)
@@ -150,6 +151,28 @@ class Named:
         goods = np.bincount(group[another], good[ordered[another]], minlength=len(self.distinct))
         return ((rows > 1) + 2 * np.minimum(goods, 2)).astype(np.uint8)
 
+    def sides(self, side: np.ndarray) -> np.ndarray:
+        """The code of the word beside a name, where it is always the same, else 0; ``side`` as the names."""
+        return alike(side[self.order], self.new)
+
+
+def alike(ordered: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of each group of equal names the value that all have, else 0."""
+    out = ordered[new].copy()
+    other = np.flatnonzero((ordered[1:] != ordered[:-1]) & ~new[1:]) + 1
+    out[(np.cumsum(new) - 1)[other]] = 0
+    return out
+
+
+def codes(words: np.ndarray) -> np.ndarray:
+    """24 bits of words; 1 stands for none, 0 for different ones."""
+    return (mix(words ^ _GOLD) % np.uint64((1 << 24) - 2) + np.uint64(2)).astype(np.uint32)
+
+
+def with_sides(flags: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Seven bytes a name: flags, and the codes of the words before and after it."""
+    return np.column_stack([flags, *(((x >> np.uint32(8 * b)) & np.uint32(255)).astype(np.uint8) for x in (left, right) for b in range(3))])
+
 
 def packed(distinct: np.ndarray, flags: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[bytes]]:
     """(bucket, names, flags) of ascending names: of a name the 40 bits after the bucket's, a plane a byte."""
@@ -171,23 +194,31 @@ def unpacked(names: bytes) -> np.ndarray:
     return out
 
 
+ELSEWHERE, GOODS, BEFORE, AFTER = 1, 6, 8, 16
+
+
 def together(table: pa.Table) -> pa.Table:
-    """Of a bucket's rows (batch, names, flags) the flags of all of them together: one row a batch."""
+    """Of a bucket's rows (batch, names, flags) the flags of all of them together: one row a batch; ``BEFORE`` and ``AFTER`` where the words differ."""
     parts = [unpacked(x) for x in table.column("names").to_pylist()]
     names = np.concatenate(parts)
-    flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
+    told = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8).reshape(len(names), -1)
     order = np.argsort(names, kind="stable")
     names = names[order]
     new = np.ones(len(names), bool)
     new[1:] = names[1:] != names[:-1]
     start, group = np.flatnonzero(new), np.cumsum(new) - 1
-    rows = np.add.reduceat((flags[order] & 1).astype(np.int64) + 1, start)
-    goods = np.add.reduceat((flags[order] >> 1).astype(np.int64), start)
+    flags = told[order, 0]
+    rows = np.add.reduceat((flags & 1).astype(np.int64) + 1, start)
+    goods = np.add.reduceat((flags >> 1).astype(np.int64), start)
     all_ = ((rows > 1) + 2 * np.minimum(goods, 2)).astype(np.uint8)
+    for at, bit in ((1, BEFORE), (4, AFTER)) if told.shape[1] > 1 else ():
+        side = sum(told[order, at + b].astype(np.uint32) << np.uint32(8 * b) for b in range(3))
+        all_ |= np.where(alike(side, new) == 0, np.uint8(bit), np.uint8(0))
     out = np.empty(len(names), np.uint8)
     out[order] = all_[group]
     ends = np.cumsum([len(x) for x in parts]).tolist()
-    return pa.table([table.column("bucket"), table.column("batch"), pa.array([out[b - len(x) : b].tobytes() for x, b in zip(parts, ends, strict=True)], pa.binary())], names=["bucket", "batch", "flags"])
+    flags_of = [out[b - len(x) : b].tobytes() for x, b in zip(parts, ends, strict=True)]
+    return pa.table([*(table.column(c) for c in ("bucket", "batch", "low")), pa.array(flags_of, pa.binary())], names=["bucket", "batch", "low", "flags"])
 
 
 def cut(longest: Sequence[int], start: int, end: int) -> int:
@@ -221,7 +252,176 @@ def scores(n: int, cross: int, own: int) -> tuple[float | None, float | None]:
     return cross_bits, cross_bits - (own * math.log2(own) / n)
 
 
-_NAMES = "bucket long, batch long, names binary, flags binary"
+_NAMES = "bucket long, batch long, low long, names binary, flags binary"
+
+
+def sent(distinct: np.ndarray, flags: np.ndarray, batch: int, low: int, bits: int) -> pa.Table:
+    bucket, parts, told = packed(distinct, flags, bits)
+    n = len(bucket)
+    return pa.table([pa.array(bucket, pa.int64()), pa.array([batch] * n, pa.int64()), pa.array([low] * n, pa.int64()), pa.array(parts, pa.binary()), pa.array(told, pa.binary())], names=["bucket", "batch", "low", "names", "flags"])
+
+
+def received(answers: pa.Table, names: np.ndarray) -> np.ndarray:
+    """The answers to each of the names asked for."""
+    return np.frombuffer(b"".join(answers.sort_by("bucket").column("flags").to_pylist()), np.uint8)[Named(names).of()]
+
+
+class Stretches:
+    """The stretches of a batch's rows in which every factor of ``m`` words is in another row, and a word on each side.
+
+    Arrays by kept word: its number ``at`` in the batch, the ``side`` code, and of the factor of m words that begins there
+    the ``name`` and ``bits`` (``ELSEWHERE``; 2 in another good row; may be a match's start, ``BEFORE``; its end, ``AFTER``).
+    """
+
+    COLUMNS = {"first": np.int64, "good": np.int8, "at": np.int32, "side": np.uint32, "name": np.uint64, "bits": np.uint8}
+
+    def __init__(self, m: int, first: np.ndarray, good: np.ndarray, at: np.ndarray, side: np.ndarray, name: np.ndarray, bits: np.ndarray) -> None:
+        self.m, self.first, self.good, self.at, self.side, self.name, self.bits = m, first, good, at, side, name, bits
+        self.row = np.searchsorted(first, at, side="right") - 1
+        self.there = (bits & ELSEWHERE) > 0
+
+    @classmethod
+    def of(cls, m: int, first: np.ndarray, good: np.ndarray, at: np.ndarray, side: np.ndarray, begins: np.ndarray, name: np.ndarray, flags: np.ndarray) -> Stretches:
+        """From the factors of m words that begin at the kept words ``begins``, and the answers to them."""
+        yes = (flags & ELSEWHERE) > 0
+        begins, name, flags = begins[yes], name[yes], flags[yes]
+        row = np.searchsorted(first, at[begins], side="right") - 1
+        start, end = at[begins] == first[row], at[begins] + m == first[row + 1]
+        bits = np.zeros(len(at), np.uint8)
+        fine = ((flags & GOODS) >> 1).astype(np.int64) > good[row]
+        bits[begins] = ELSEWHERE + 2 * fine + BEFORE * (start | ((flags & BEFORE) > 0)) + AFTER * (end | ((flags & AFTER) > 0))
+        names = np.zeros(len(at), np.uint64)
+        names[begins] = name
+        edge = np.zeros(len(at) + 1, np.int64)
+        np.add.at(edge, np.maximum(begins - 1, 0), 1)
+        np.add.at(edge, np.minimum(begins + m + 1, len(at)), -1)
+        kept = np.cumsum(edge[:-1]) > 0
+        return cls(m, first, good, at[kept], side[kept], names[kept], bits[kept])
+
+    def split(self, most: int) -> list[tuple[int, Stretches]]:
+        """(first row, stretches) of parts that ask for some ``most`` names, or of one row."""
+        low, high = (int(self.row[0]), int(self.row[-1])) if len(self.row) else (0, 0)
+        if low == high or self.asks <= most:
+            return [(low, self)] if self.asks else []
+        half = min(max(int(np.searchsorted(self.row, self.row[len(self.row) // 2])), 1), len(self.row) - 1)
+        half = half if self.row[half - 1] != self.row[half] else int(np.searchsorted(self.row, low, side="right"))
+        both = [Stretches(self.m, self.first, self.good, *(x[part] for x in (self.at, self.side, self.name, self.bits))) for part in (slice(0, half), slice(half, None))]
+        return [x for part in both for x in part.split(most)]
+
+    @cached_property
+    def doubled(self) -> np.ndarray:
+        """Where factors of 2m words begin, both halves of which are elsewhere."""
+        k = np.flatnonzero(self.there[: max(0, len(self.at) - self.m)])
+        return k[self.there[k + self.m] & (self.at[k + self.m] == self.at[k] + self.m) & (self.row[k + self.m] == self.row[k])]
+
+    @cached_property
+    def periods(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each kept word how far before it, by less than m, the row has the same factor (0: not), and the last word up to which that goes on."""
+        n = len(self.at)
+        back, last = np.zeros(n, np.int64), np.arange(n)
+        k = np.flatnonzero(self.there)
+        order = k[np.argsort(self.name[k], kind="stable")]
+        a, b = order[:-1], order[1:]
+        same = (self.name[a] == self.name[b]) & (self.row[a] == self.row[b]) & (self.at[b] - self.at[a] < self.m)
+        back[b[same]] = (self.at[b] - self.at[a])[same]
+        if n:
+            stop = np.append((back[1:] != back[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (self.row[1:] != self.row[:-1]), True)
+            stops = np.flatnonzero(stop)
+            last = stops[np.searchsorted(stops, last)]
+        return back, last
+
+    @cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of matches of m + 1 to 2m - 1 words, all ends' last factors, and for each start which of these it asks for (from, to)."""
+        n = len(self.at)
+        starts = np.flatnonzero(self.there & ((self.bits & BEFORE) > 0))
+        ends = np.flatnonzero(self.there & ((self.bits & AFTER) > 0))
+        broken = np.ones(n + 1, bool)
+        if n:
+            broken[1:n] = ~self.there[1:] | (self.at[1:] != self.at[:-1] + 1) | (self.row[1:] != self.row[:-1])
+        breaks = np.flatnonzero(broken)
+        stop = np.minimum(breaks[np.searchsorted(breaks, starts, side="right")], starts + self.m)
+        back, last = self.periods
+        # what ends within the period was asked for a period before, but for the end of the text
+        last = last[starts]
+        closes = self.at[last] + self.m == self.first[self.row[last] + 1]
+        low = np.maximum(np.where(back[starts] > 0, last + ~closes, 0), starts + 1)
+        a = np.searchsorted(ends, low)
+        return starts, ends, a, np.maximum(np.searchsorted(ends, stop), a)
+
+    @cached_property
+    def asks(self) -> int:
+        _, _, a, b = self.spans
+        return len(self.doubled) + int((b - a).sum())
+
+    def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(names, where they begin, how many words long, number of those of 2m words, which come first)."""
+        twice = self.doubled
+        starts, ends, a, b = self.spans
+        count = b - a
+        begin = np.repeat(starts, count)
+        to = ends[np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
+        with np.errstate(over="ignore"):
+            long = mix(self.name[twice] * _GOLD ^ mix(self.name[twice + self.m]))
+            between = mix(self.name[begin] * _BASE + mix(self.name[to] + (to - begin).astype(np.uint64) * _GOLD))
+        length = np.append(np.full(len(twice), 2 * self.m), self.m + to - begin)
+        return np.append(long, between), np.append(twice, begin), length, len(twice)
+
+    def send(self, batch: int, low: int, bits: int) -> pa.Table:
+        names, begin, length, n = self.ask()
+        left, right = np.zeros(len(names), np.uint32), np.zeros(len(names), np.uint32)
+        twice = begin[:n]
+        row = self.row[twice]
+        left[:n] = np.where(self.at[twice] == self.first[row], np.uint32(1), self.side[np.maximum(twice - 1, 0)])
+        after = twice + 2 * self.m
+        right[:n] = np.where(self.at[twice] + 2 * self.m == self.first[row + 1], np.uint32(1), self.side[np.minimum(after, len(self.side) - 1)])
+        named = Named(names)
+        return sent(named.distinct, with_sides(named.flags(self.row[begin], self.good.astype(np.int64)), named.sides(left), named.sides(right)), batch, low, bits)
+
+    def take(self, answers: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Stretches]:
+        """Matches of m + 1 to 2m - 1 words (where, how long: elsewhere and in good rows), and the stretches of 2m words."""
+        names, begin, length, n = self.ask()
+        flags = received(answers, names)
+        k, size, told = begin[n:], length[n:], flags[n:]
+        found = np.zeros((2, len(self.at)), np.int64)
+        for best, yes in zip(found, ((told & ELSEWHERE) > 0, ((told & GOODS) >> 1).astype(np.int64) > self.good[self.row[k]]), strict=True):
+            np.maximum.at(best, k[yes], size[yes])
+        starts = np.flatnonzero(self.there & ((self.bits & BEFORE) > 0))
+        back, last = self.periods
+        again = starts[back[starts] > 0]
+        for best in found:
+            for i, d, most in zip(again.tolist(), back[again].tolist(), (last[again] + self.m - again).tolist(), strict=True):
+                earlier = min(best[i - d], most)
+                if earlier > best[i]:
+                    best[i] = earlier
+        some = np.flatnonzero(found.any(axis=0))
+        after = Stretches.of(2 * self.m, self.first, self.good, self.at, self.side, begin[:n], names[:n], flags[:n])
+        return (self.at[some], found[0, some], found[1, some]), after
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The matches of m words that are a start's."""
+        k = np.flatnonzero(self.there & ((self.bits & BEFORE) > 0))
+        return self.at[k], np.full(len(k), self.m), np.where((self.bits[k] & 2) > 0, self.m, 0)
+
+
+_STATE = "batch long, low long, asks long, first binary, good binary, at binary, side binary, name binary, bits binary, any binary, fine binary"
+
+
+def states(batch: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], after: Stretches, most: int) -> pa.Table:
+    """Rows of ``_STATE``: matches (without ``asks``), and stretches that ask for more."""
+    at, any_, fine = (np.concatenate([f[i] for f in [*found, after.matches()]]).astype(np.int32).tobytes() for i in range(3))
+    rows = [{"batch": batch, "at": at, "any": any_, "fine": fine}] if at else []
+    for low, part in after.split(most):
+        rows.append({"batch": batch, "low": low, "asks": part.asks} | {c: getattr(part, c).astype(t).tobytes() for c, t in Stretches.COLUMNS.items()})
+    return pa.Table.from_pylist(rows, _ARROW)
+
+
+_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (x.split() for x in _STATE.split(", "))])
+
+
+def stretches(table: pa.Table, m: int) -> Stretches:
+    row = table.to_pylist()[0]
+    return Stretches(m, *(np.frombuffer(row[c], t) for c, t in Stretches.COLUMNS.items()))
 
 
 class _Batch:
@@ -236,82 +436,153 @@ class _Batch:
         self.row = self.factors.row
         self.longest = np.zeros((2, len(self.words)), np.int64)
 
-    def send(self, names: np.ndarray, places: list[np.ndarray], batch: int, bits: int) -> pa.Table:
+    def send(self, names: np.ndarray, places: list[np.ndarray], batch: int, bits: int, sides: bool) -> pa.Table:
         named = Named(names)
-        row = self.row[np.concatenate(places)] if places else np.zeros(0, np.int64)
-        bucket, parts, flags = packed(named.distinct, named.flags(row, self.good), bits)
-        return pa.table([pa.array(bucket, pa.int64()), pa.array([batch] * len(bucket), pa.int64()), pa.array(parts, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "batch", "names", "flags"])
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        flags = named.flags(self.row[at], self.good)
+        if sides:
+            # of the longest factors only
+            left, right = np.zeros(len(names), np.uint32), np.zeros(len(names), np.uint32)
+            if len(places) == START - 3 and len(places[-1]):
+                last, n = places[-1], len(self.words)
+                left[-len(last) :] = np.where(last == self.first[self.row[last]], np.uint32(1), codes(self.words[last - 1]))
+                right[-len(last) :] = np.where(last + START == self.factors.end[last], np.uint32(1), codes(self.words[np.minimum(last + START, n - 1)]))
+            flags = with_sides(flags, named.sides(left), named.sides(right))
+        return sent(named.distinct, flags, batch, 0, bits)
 
     def take(self, names: np.ndarray, places: list[np.ndarray], first_length: int, answers: pa.Table) -> np.ndarray:
-        """Lengthen the longest matches by the answers; returns for each factor if it is in another row."""
-        flags = np.frombuffer(b"".join(answers.sort_by("bucket").column("flags").to_pylist()), np.uint8)
-        flags = flags[Named(names).of()]
+        """Lengthen the longest matches by the answers; returns them for each factor."""
+        flags = received(answers, names)
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         length = np.repeat(np.arange(first_length, first_length + len(places)), [len(p) for p in places])
-        there = (flags & 1) > 0, (flags >> 1).astype(np.int64) > self.good[self.row[at]]
+        there = (flags & ELSEWHERE) > 0, ((flags & GOODS) >> 1).astype(np.int64) > self.good[self.row[at]]
         for longest, yes in zip(self.longest, there, strict=True):
             # lengths ascend, so the last one written is the longest
             longest[at[yes]] = length[yes]
-        return there[0]
+        return flags
 
     def first_round(self, answers: pa.Table) -> np.ndarray:
         names, places = short(self.factors)
-        there = self.take(names, places, 1, answers)
+        there = (self.take(names, places, 1, answers) & ELSEWHERE) > 0
         threes = np.zeros(max(0, len(self.words) - 2), bool)
         threes[places[2]] = there[len(there) - len(places[2]) :]
         return threes
 
+    def stretches(self, threes: np.ndarray, answers: pa.Table) -> Stretches:
+        names, places = longer(self.factors, threes)
+        flags = self.take(names, places, 4, answers)
+        begins = places[-1] if len(places) == START - 3 else np.zeros(0, np.int64)
+        last = len(names) - len(begins)
+        return Stretches.of(START, self.first, self.good, np.arange(len(self.words)), codes(self.words), begins, names[last:], flags[last:])
+
 
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """id, n_symbols, own_phrases, cross_phrases, good_phrases, cross_entropy, relative_entropy, good_entropy of every row.
 
-    The texts are written once and exchanged by batch in each of three passes, the names of their factors once in two.
+    The texts are written once and exchanged by batch in each of three passes, the names of their short factors once in two;
+    a round for each doubling exchanges the stretches of text that are left and the names of their factors.
     """
     text = F.col(text_col).cast("string")
     good = labels.where(f"`{quality_col}` = 1 and `{id_col}` is not null").select(F.col(id_col).alias("d")).distinct().withColumn("good", F.lit(1))
     rows = docs.select(F.col(id_col).alias("d"), text.alias("t")).join(good, "d", "left").select("d", "t", F.coalesce("good", F.lit(0)).alias("good"))
     # written, so that a row has the same number, and with it the same batch, in every pass
-    rows = materialise(rows.withColumn("nth", F.xxhash64(F.monotonically_increasing_id())), "lm-rows", compression="zstd")
-    total = rows.select(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    texts = materialise(rows.withColumn("nth", F.xxhash64(F.monotonically_increasing_id())), "lm-rows", compression="zstd")
+    total = texts.select(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     batches = -(-total // batch_bytes) + 1
     bits = max(0, math.ceil(math.log2(max(1, total / bucket_bytes))))
-    rows = rows.select("d", "t", "good", F.pmod("nth", F.lit(batches)).alias("batch"))
+    # of the names that a part of a batch asks for
+    most = bucket_bytes // 4
+    rows = texts.select("d", "t", "good", F.pmod("nth", F.lit(batches)).alias("batch"))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         batch = _Batch(table)
-        return batch.send(*short(batch.factors), key[0].as_py(), bits)
+        return batch.send(*short(batch.factors), key[0].as_py(), bits, False)
 
     def second(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         batch = _Batch(table)
-        return batch.send(*longer(batch.factors, batch.first_round(answers)), key[0].as_py(), bits)
+        return batch.send(*longer(batch.factors, batch.first_round(answers)), key[0].as_py(), bits, True)
 
-    def last(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = _Batch(table)
-        nth = answers.column("round").to_numpy()
+    def third(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        """A row a document, and those of ``states``."""
+        batch, nth = _Batch(table), answers.column("round").to_numpy()
         threes = batch.first_round(answers.filter(pa.array(nth == 1)))
-        names, places = longer(batch.factors, threes)
-        batch.take(names, places, 4, answers.filter(pa.array(nth == 2)))
-        longest, good = batch.longest[0].tolist(), batch.longest[1].tolist()
-        words, bounds, found = batch.words.tolist(), batch.first.tolist(), []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            mine, cross, other = own_phrases(words[a:b]), cut(longest, a, b), cut(good, a, b)
-            found.append((b - a, mine, cross, other, *scores(b - a, cross, mine), scores(b - a, other, mine)[0]))
-        columns = list(zip(*found, strict=True))
-        return pa.table([batch.ids, *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.float64()) for c in columns[4:])], names=schema.names)
+        left = states(key[0].as_py(), [], batch.stretches(threes, answers.filter(pa.array(nth == 2))), most)
+        longest, words, bounds = batch.longest.astype(np.uint8), batch.words.tolist(), batch.first.tolist()
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        own = pa.table({
+            "d": batch.ids, "batch": pa.array([key[0].as_py()] * len(spans), pa.int64()), "nth": pa.array(range(len(spans)), pa.int64()),
+            "own": pa.array([own_phrases(words[a:b]) for a, b in spans], pa.int64()), "longest": pa.array([longest[:, a:b].tobytes() for a, b in spans], pa.binary()),
+        })
+        both = pa.concat_tables([own, left], promote_options="default")
+        return both.select(read.names)
+
+    def ask(m: int, bits: int):
+        def send(key: tuple, table: pa.Table) -> pa.Table:
+            return stretches(table, m).send(key[0].as_py(), key[1].as_py(), bits)
+
+        return send
+
+    def answer(m: int):
+        def take(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+            found, after = stretches(table, m).take(answers)
+            return states(key[0].as_py(), [found], after, most)
+
+        return take
+
+    def last(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        table = table.sort_by("nth")
+        short_ = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in table.column("longest").to_pylist()]
+        bounds = np.cumsum([0] + [x.shape[1] for x in short_]).tolist()
+        longest = np.concatenate(short_, axis=1).astype(np.int64)
+        for f in found.to_pylist():
+            at = np.frombuffer(f["at"], np.int32)
+            for best, more in zip(longest, (f["any"], f["fine"]), strict=True):
+                # a start may be told of at several lengths, once in a row of them at each
+                np.maximum.at(best, at, np.frombuffer(more, np.int32))
+        # a match's end never falls from one word to the next, nor goes beyond its text
+        nth = np.arange(longest.shape[1])
+        cross, good = (np.maximum.accumulate(longest + nth, axis=1) - nth).tolist()
+        done = []
+        for a, b, mine in zip(bounds[:-1], bounds[1:], table.column("own").to_pylist(), strict=True):
+            n, all_, other = b - a, cut(cross, a, b), cut(good, a, b)
+            done.append((n, mine, all_, other, *scores(n, all_, mine), scores(n, other, mine)[0]))
+        columns = list(zip(*done, strict=True))
+        return pa.table([table.column("d"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.float64()) for c in columns[4:])], names=schema.names)
 
     long, real = T.LongType(), T.DoubleType()
     schema = T.StructType([
         docs.schema[id_col], *(T.StructField(x, long) for x in free_names(id_col, "n_symbols", "own_phrases", "cross_phrases", "good_phrases")),
         *(T.StructField(x, real) for x in free_names(id_col, "cross_entropy", "relative_entropy", "good_entropy")),
     ])
+    state = T.StructType.fromDDL(_STATE)
+    read = T.StructType([T.StructField("d", docs.schema[id_col].dataType), *T.StructType.fromDDL("nth long, own long, longest binary"), *state])
 
     def answered(names: DataFrame, nth: int) -> DataFrame:
-        flags = names.groupBy("bucket").applyInArrow(together, "bucket long, batch long, flags binary")
+        flags = names.groupBy("bucket").applyInArrow(together, "bucket long, batch long, low long, flags binary")
         return materialise(flags.withColumn("round", F.lit(nth)), "lm-answers", compression="zstd")
 
     by = rows.groupBy("batch")
     one = answered(by.applyInArrow(first, _NAMES), 1)
     two = answered(by.cogroup(one.groupBy("batch")).applyInArrow(second, _NAMES), 2)
-    return by.cogroup(one.union(two).groupBy("batch")).applyInArrow(last, schema)
+    base = materialise(by.cogroup(one.union(two).groupBy("batch")).applyInArrow(third, read), "lm-short", compression="zstd")
+    discard(texts, one, two)
+    left, found, m = base.select(state.names), [], START
+    while True:
+        found.append(left.where("asks is null and at is not null").select("batch", "at", "any", "fine"))
+        more = left.where("asks > 0")
+        total = more.select(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]
+        if total == 0:
+            break
+        by = more.groupBy("batch", "low")
+        # 8 bytes a name
+        bits = max(0, math.ceil(math.log2(max(1, 8 * total / bucket_bytes))))
+        replies = answered(by.applyInArrow(ask(m, bits), _NAMES), m)
+        left = materialise(by.cogroup(replies.groupBy("batch", "low")).applyInArrow(answer(m), state), "lm-stretches", compression="zstd")
+        discard(replies)
+        m *= 2
+    matches = found[0]
+    for f in found[1:]:
+        matches = matches.union(f)
+    return base.where("nth is not null").select("batch", "d", "nth", "own", "longest").groupBy("batch").cogroup(matches.groupBy("batch")).applyInArrow(last, schema)

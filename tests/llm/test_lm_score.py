@@ -1,6 +1,7 @@
 """Cross-parsing against a suffix automaton of each row's own reference, and that against search."""
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,52 @@ def test_whole_table_against_automata(spark):
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
     some = docs.where(docs.doc_id.isin([d for d, _ in rows]))
     assert got(L.score(some, labels, batch_bytes=40_000)) == brute_force(rows, good)
+
+
+def families():
+    """Rows by families without a common word: near and exact copies, passages at any place, short periods."""
+    draw, out = random.Random(2), []
+    for f in range(60):
+        word = [f"f{f}w{i}" for i in range(draw.choice((2, 3, 30, 400)))]
+        base, rows = draw.choices(word, k=draw.choice((20, 90, 300))), []
+        for _ in range(draw.randint(2, 7)):
+            kind = draw.randrange(5)
+            if kind == 0:
+                own = list(base)
+            elif kind == 1:
+                own = [x if draw.random() > 0.03 else draw.choice(word) for x in base]
+            elif kind == 2:
+                a, b = sorted(draw.choices(range(len(base) + 1), k=2))
+                own = draw.choices(word, k=draw.randint(0, 9)) + base[a:b] + draw.choices(word, k=draw.randint(0, 9))
+            elif kind == 3:
+                period = draw.randint(1, 11)
+                own = draw.choices(word, k=draw.randint(0, 2)) + (base[:period] * 200)[: draw.randint(1, 200)] + draw.choices(word, k=draw.randint(0, 2))
+            else:
+                a = draw.randrange(len(base))
+                own = base[a:] + base[:a]
+            rows.append((len(out) * 10 + len(rows), " ".join(own)))
+        out.append(rows)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 20_000, "bucket_bytes": 3_000}])
+def test_phrases_of_any_length_against_automata(spark, sizes):
+    """No phrase ends but where the other rows differ: before texts were read whole, the two copies of the last row had a phrase every 7 words."""
+    one = (10_000, " ".join(f"once{i}" for i in range(3_000)))
+    every = [*families(), [one, (10_001, one[1])]]
+    rows, draw = [r for f in every for r in f], random.Random(3)
+    good = {d for d, _ in rows if draw.random() < 0.4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = got(L.score(docs, spark.createDataFrame([(d, 1) for d in sorted(good)], "doc_id long, quality int"), **sizes))
+    wanted = sorted((r for f in every for r in brute_force(f, good)), key=str)
+    assert found == wanted
+    assert [(cross, n) for d, n, _, cross, _ in found if d >= 10_000] == [(1, 3_000)] * 2
+
+
+def test_one_word_texts_ask_for_few_names():
+    """A row of one word, at any length, asks for as many names as it has words, not for the square."""
+    n, m = 40_000, 1_024
+    at = np.arange(n)
+    begins = at[: n - m + 1]
+    row = L.Stretches.of(m, np.array([0, n]), np.array([0], np.int8), at, np.full(n, 7, np.uint32), begins, np.full(len(begins), 5, np.uint64), np.full(len(begins), L.ELSEWHERE + L.BEFORE + L.AFTER, np.uint8))
+    assert row.asks <= 2 * n
