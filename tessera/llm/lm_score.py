@@ -56,6 +56,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ class Named:
     """The distinct names of a batch, ascending; ``of`` has each factor's place among them."""
 
     def __init__(self, names: np.ndarray) -> None:
-        self.order = np.argsort(names, kind="stable")
+        self.order = np.argsort(names)
         ordered = names[self.order]
         self.new = np.ones(len(names), bool)
         self.new[1:] = ordered[1:] != ordered[:-1]
@@ -142,14 +143,16 @@ class Named:
 
     def flags(self, row: np.ndarray, good: np.ndarray) -> np.ndarray:
         """1 for names of several rows, and 2 for each good row up to two; ``row`` as the names."""
-        # a name's rows ascend within a length, and a name has one length
-        ordered = row[self.order]
-        another = self.new.copy()
-        another[1:] |= ordered[1:] != ordered[:-1]
-        group = np.cumsum(self.new) - 1
-        rows = np.bincount(group[another], minlength=len(self.distinct))
-        goods = np.bincount(group[another], good[ordered[another]], minlength=len(self.distinct))
-        return ((rows > 1) + 2 * np.minimum(goods, 2)).astype(np.uint8)
+        if len(self.order) == 0:
+            return np.zeros(0, np.uint8)
+        ordered, start = row[self.order], np.flatnonzero(self.new)
+        flags = (alike(ordered + 1, self.new) == 0).astype(np.uint8)
+        if good.any():
+            fine = good[ordered] > 0
+            low = np.minimum.reduceat(np.where(fine, ordered, len(good)), start)
+            high = np.maximum.reduceat(np.where(fine, ordered, -1), start)
+            flags += (2 * ((high >= 0).astype(np.uint8) + (high > low))).astype(np.uint8)
+        return flags
 
     def sides(self, side: np.ndarray) -> np.ndarray:
         """The code of the word beside a name, where it is always the same, else 0; ``side`` as the names."""
@@ -175,12 +178,15 @@ def with_sides(flags: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
 
 
 def packed(distinct: np.ndarray, flags: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    """(bucket, names, flags) of ascending names: of a name the 40 bits after the bucket's, a plane a byte."""
+    """(bucket, names, flags) of ascending names: of a name the 40 bits after the bucket's, as steps from one to the next, a plane a byte."""
     if len(distinct) == 0:
         return [], [], []
     bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rest = ((distinct << np.uint64(bits)) >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    rest = (distinct << np.uint64(bits)) >> np.uint64(24)
+    steps = np.diff(rest, prepend=np.uint64(0))
+    steps[starts] = rest[starts]
+    rest = steps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
     ends = np.append(starts[1:], len(distinct))
     spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
     return bucket[starts].tolist(), [rest[a:b].T.tobytes() for a, b in spans], [flags[a:b].tobytes() for a, b in spans]
@@ -191,7 +197,7 @@ def unpacked(names: bytes) -> np.ndarray:
     out = np.zeros(planes.shape[1], np.uint64)
     for plane in planes:
         out = (out << np.uint64(8)) | plane
-    return out
+    return np.cumsum(out, dtype=np.uint64)
 
 
 ELSEWHERE, GOODS, BEFORE, AFTER = 1, 6, 8, 16
@@ -412,22 +418,48 @@ def states(batch: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], a
     at, any_, fine = (np.concatenate([f[i] for f in [*found, after.matches()]]).astype(np.int32).tobytes() for i in range(3))
     rows = [{"batch": batch, "at": at, "any": any_, "fine": fine}] if at else []
     for low, part in after.split(most):
-        rows.append({"batch": batch, "low": low, "asks": part.asks} | {c: getattr(part, c).astype(t).tobytes() for c, t in Stretches.COLUMNS.items()})
+        columns = {c: getattr(part, c).astype(t) for c, t in Stretches.COLUMNS.items()}
+        # steps, as nearly all of them are 1
+        columns["at"] = np.diff(columns["at"], prepend=np.int32(0))
+        rows.append({"batch": batch, "low": low, "asks": part.asks} | {c: x.tobytes() for c, x in columns.items()})
     return pa.Table.from_pylist(rows, _ARROW)
 
 
 _ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (x.split() for x in _STATE.split(", "))])
 
 
-def stretches(table: pa.Table, m: int) -> Stretches:
-    row = table.to_pylist()[0]
-    return Stretches(m, *(np.frombuffer(row[c], t) for c, t in Stretches.COLUMNS.items()))
+def stretches(row: dict, m: int) -> Stretches:
+    columns = {c: np.frombuffer(row[c], t) for c, t in Stretches.COLUMNS.items()}
+    return Stretches(m, **columns | {"at": np.cumsum(columns["at"], dtype=np.int32)})
+
+
+def finish(table: pa.Table, m: int, most: int) -> pa.Table:
+    """All further rounds of all stretches there are: rows of ``_STATE`` of the matches."""
+    left, out = [(r["batch"], r["low"], stretches(r, m)) for r in table.to_pylist()], []
+    while left:
+        answers = together(pa.concat_tables([part.send(batch, low, 0) for batch, low, part in left]))
+        next_ = []
+        for i, (batch, _, part) in enumerate(left):
+            found, after = part.take(answers.slice(i, 1))
+            rows = states(batch, [found], after, most)
+            out.append(rows.filter(rows.column("asks").is_null()))
+            next_ += [(batch, low, x) for low, x in after.split(most)]
+        left = next_
+    return pa.concat_tables(out)
+
+
+def sealed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 class _Batch:
     """A batch's texts and what has come back of them so far."""
 
     def __init__(self, table: pa.Table) -> None:
+        table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
         self.ids = table.column("d")
         self.good = table.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
         raw, offsets = text_buffer(table.column("t"))
@@ -481,8 +513,8 @@ def score(
 ) -> DataFrame:
     """id, n_symbols, own_phrases, cross_phrases, good_phrases, cross_entropy, relative_entropy, good_entropy of every row.
 
-    The texts are written once and exchanged by batch in each of three passes, the names of their short factors once in two;
-    a round for each doubling exchanges the stretches of text that are left and the names of their factors.
+    The texts are written once by batch, compressed, and exchanged so in each of three passes, the names of their short factors once in two;
+    a round for each doubling exchanges the stretches of text that are left and the names of their factors, until one worker can hold them all.
     """
     text = F.col(text_col).cast("string")
     good = labels.where(f"`{quality_col}` = 1 and `{id_col}` is not null").select(F.col(id_col).alias("d")).distinct().withColumn("good", F.lit(1))
@@ -496,6 +528,13 @@ def score(
     most = bucket_bytes // 4
     rows = texts.select("d", "t", "good", F.pmod("nth", F.lit(batches)).alias("batch"))
 
+    def seal(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"batch": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([sealed(table.select(["d", "t", "good"]))], pa.binary())})
+
+    # compressed, as they are exchanged in each pass
+    batched = materialise(rows.groupBy("batch").applyInArrow(seal, "batch long, rows binary"), "lm-batches", compression="none")
+    discard(texts)
+
     def first(key: tuple, table: pa.Table) -> pa.Table:
         batch = _Batch(table)
         return batch.send(*short(batch.factors), key[0].as_py(), bits, False)
@@ -520,17 +559,23 @@ def score(
 
     def ask(m: int, bits: int):
         def send(key: tuple, table: pa.Table) -> pa.Table:
-            return stretches(table, m).send(key[0].as_py(), key[1].as_py(), bits)
+            return stretches(table.to_pylist()[0], m).send(key[0].as_py(), key[1].as_py(), bits)
 
         return send
 
     def answer(m: int):
         def take(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-            found, after = stretches(table, m).take(answers)
+            found, after = stretches(table.to_pylist()[0], m).take(answers)
             return states(key[0].as_py(), [found], after, most)
 
         return take
 
+    def rest(m: int):
+        def all_rounds(table: pa.Table) -> pa.Table:
+            return finish(table, m, most)
+
+        return all_rounds
+
     def last(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         table = table.sort_by("nth")
         short_ = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in table.column("longest").to_pylist()]
@@ -563,24 +608,36 @@ def score(
         flags = names.groupBy("bucket").applyInArrow(together, "bucket long, batch long, low long, flags binary")
         return materialise(flags.withColumn("round", F.lit(nth)), "lm-answers", compression="zstd")
 
-    by = rows.groupBy("batch")
+    by = batched.groupBy("batch")
     one = answered(by.applyInArrow(first, _NAMES), 1)
     two = answered(by.cogroup(one.groupBy("batch")).applyInArrow(second, _NAMES), 2)
     base = materialise(by.cogroup(one.union(two).groupBy("batch")).applyInArrow(third, read), "lm-short", compression="zstd")
-    discard(texts, one, two)
+    discard(batched, one, two)
     left, found, m = base.select(state.names), [], START
     while True:
-        found.append(left.where("asks is null and at is not null").select("batch", "at", "any", "fine"))
+        of = left.where("asks is null and at is not null").select("batch", "at", "any", "fine")
+        found.append(of if m == START else materialise(of, "lm-matches", compression="zstd"))
         more = left.where("asks > 0")
-        total = more.select(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]
+        size = sum((F.octet_length(c) for c in Stretches.COLUMNS), F.lit(0))
+        total, bytes_ = more.select(F.coalesce(F.sum("asks"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+        before, few = left, 8 * total + bytes_ <= 2 * bucket_bytes
         if total == 0:
             break
-        by = more.groupBy("batch", "low")
-        # 8 bytes a name
-        bits = max(0, math.ceil(math.log2(max(1, 8 * total / bucket_bytes))))
-        replies = answered(by.applyInArrow(ask(m, bits), _NAMES), m)
-        left = materialise(by.cogroup(replies.groupBy("batch", "low")).applyInArrow(answer(m), state), "lm-stretches", compression="zstd")
-        discard(replies)
+        if few:
+            # few enough for one worker, which ends the rounds at once
+            left = materialise(more.groupBy().applyInArrow(rest(m), state), "lm-stretches", compression="zstd")
+            found.append(left.select("batch", "at", "any", "fine"))
+        else:
+            by = more.groupBy("batch", "low")
+            # 8 bytes a name
+            bits = max(0, math.ceil(math.log2(max(1, 8 * total / bucket_bytes))))
+            replies = answered(by.applyInArrow(ask(m, bits), _NAMES), m)
+            left = materialise(by.cogroup(replies.groupBy("batch", "low")).applyInArrow(answer(m), state), "lm-stretches", compression="zstd")
+            discard(replies)
+        if m > START:
+            discard(before)
+        if few:
+            break
         m *= 2
     matches = found[0]
     for f in found[1:]:
