@@ -184,7 +184,7 @@ def families():
 
 @pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 20_000, "bucket_bytes": 3_000}])
 def test_phrases_of_any_length_against_automata(spark, sizes):
-    """No phrase ends but where the other rows differ: before texts were read whole, the two copies of the last row had a phrase every 7 words."""
+    """No phrase ends but where the other rows differ: before texts were read whole, the two copies of the last row had 365 phrases each."""
     one = (10_000, " ".join(f"once{i}" for i in range(3_000)))
     every = [*families(), [one, (10_001, one[1])]]
     rows, draw = [r for f in every for r in f], random.Random(3)
