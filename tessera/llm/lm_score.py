@@ -30,8 +30,9 @@ take the square of its length, so a few names stand for all:
   start asks only for what the start a period before it has not asked.
 
 A round exchanges each batch's distinct factors as sorted byte arrays by bucket and sends back
-a byte for each: in another row, in how many good rows, after and before different words. After
-the second round, only the stretches of text whose every factor of m words is elsewhere go on.
+a byte for each, both compressed: in another row, in how many good rows, after and before different
+words. The words beside a factor are told of a round's longest only. What the first round has told
+of a batch is kept, four bits a word, and comes back with the second round's answers. After that, only the stretches of text whose every factor of m words is elsewhere go on.
 The hash names of a bucket are 40 bits long beyond its number, so that a bucket's size bounds
 the share of wrong answers (some 10^-6); the words beside a factor are told apart by 24 bits.
 A factor that a third of all rows hold is one entry a batch. Names grow in proportion to the
@@ -51,22 +52,26 @@ that has the id column's name has an underscore appended.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import discard, free_names, materialise, mix, text_buffer, word_hashes
+from tessera.llm.common import discard, free_names, materialise, mix, slices, text_buffer, word_hashes
 
 #: Factors of up to so many words are all asked for.
 START = 8
 #: Bytes of text in a batch, and of the text or of the names in a bucket, on average.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: In an answer: in another row, the number of good rows up to two, after different words, before different words. In a question the first two, and whether the words beside are told.
+ELSEWHERE, GOODS, BEFORE, AFTER, SIDED = 1, 6, 8, 16, 8
 _BASE, _GOLD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +86,7 @@ class Factors:
     def __init__(self, words: np.ndarray, first: np.ndarray) -> None:
         self.words, self.first = words, first
         self.end = cuts(words, first)
-        self.row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
         self._name, self.length = mix(words + np.uint64(1)), 1
 
     def grow(self) -> None:
@@ -126,44 +131,75 @@ def longer(factors: Factors, threes: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return np.concatenate(names), places
 
 
+def ascending(names: np.ndarray) -> np.ndarray:
+    """The stable order of names: sorted with their places in the low bits, which takes a fraction of argsort's time, and set right where these bits tell names apart."""
+    if len(names) == 0:
+        return np.zeros(0, np.int64)
+    bits = np.uint64((len(names) - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    keys = (names & ~low) | np.arange(len(names), dtype=np.uint64)
+    keys.sort()
+    order = (keys & low).astype(np.int64)
+    ordered = names[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong):
+        top = ordered & ~low
+        for x in np.unique(top[wrong]):
+            a, b = np.searchsorted(top, x), np.searchsorted(top, x, side="right")
+            order[a:b] = order[a:b][np.argsort(names[order[a:b]], kind="stable")]
+    return order
+
+
 class Named:
-    """The distinct names of a batch, ascending; ``of`` has each factor's place among them."""
+    """The distinct names of a batch, ascending; ``of`` has what is told of each for every factor that has the name."""
 
     def __init__(self, names: np.ndarray) -> None:
-        self.order = np.argsort(names)
+        self.order = ascending(names)
         ordered = names[self.order]
         self.new = np.ones(len(names), bool)
         self.new[1:] = ordered[1:] != ordered[:-1]
-        self.distinct = ordered[self.new]
+        self.start = np.flatnonzero(self.new)
+        self.distinct = ordered[self.start]
+
+    @cached_property
+    def group(self) -> np.ndarray:
+        return np.cumsum(self.new) - 1
 
-    def of(self) -> np.ndarray:
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.cumsum(self.new) - 1
+    def of(self, told: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.order), told.dtype)
+        out[self.order] = told[self.group]
         return out
 
     def flags(self, row: np.ndarray, good: np.ndarray) -> np.ndarray:
-        """1 for names of several rows, and 2 for each good row up to two; ``row`` as the names."""
+        """1 for names of several rows, and 2 for each good row up to two; ``row`` as the names, ascending for those of one length."""
         if len(self.order) == 0:
             return np.zeros(0, np.uint8)
-        ordered, start = row[self.order], np.flatnonzero(self.new)
-        flags = (alike(ordered + 1, self.new) == 0).astype(np.uint8)
-        if good.any():
-            fine = good[ordered] > 0
-            low = np.minimum.reduceat(np.where(fine, ordered, len(good)), start)
-            high = np.maximum.reduceat(np.where(fine, ordered, -1), start)
-            flags += (2 * ((high >= 0).astype(np.uint8) + (high > low))).astype(np.uint8)
+        ordered = row[self.order]
+        flags = (ordered[self.start] != ordered[np.append(self.start[1:], len(ordered)) - 1]).astype(np.uint8)
+        fine = np.flatnonzero(good[ordered] > 0)
+        if len(fine):
+            group, rows = self.group[fine], ordered[fine]
+            start = np.flatnonzero(np.diff(group, prepend=-1))
+            end = np.append(start[1:], len(group)) - 1
+            flags[group[start]] += (2 + 2 * (rows[start] != rows[end])).astype(np.uint8)
         return flags
 
-    def sides(self, side: np.ndarray) -> np.ndarray:
-        """The code of the word beside a name, where it is always the same, else 0; ``side`` as the names."""
-        return alike(side[self.order], self.new)
+    def sides(self, low: int, high: int, *sides: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """``SIDED`` for the names of factors ``low`` to ``high``, and for each of these the code of the word beside it where it is always the same, else 0; ``sides`` as the factors."""
+        here = np.flatnonzero((self.order >= low) & (self.order < high))
+        group, at = self.group[here], self.order[here] - low
+        new = np.ones(len(here), bool)
+        new[1:] = group[1:] != group[:-1]
+        flags = np.zeros(len(self.distinct), np.uint8)
+        flags[group] = SIDED
+        return flags, [alike(side[at], new) for side in sides]
 
 
 def alike(ordered: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Of each group of equal names the value that all have, else 0."""
-    out = ordered[new].copy()
+    out = ordered[new]
     other = np.flatnonzero((ordered[1:] != ordered[:-1]) & ~new[1:]) + 1
-    out[(np.cumsum(new) - 1)[other]] = 0
+    out[np.searchsorted(np.flatnonzero(new), other, side="right") - 1] = 0
     return out
 
 
@@ -172,13 +208,11 @@ def codes(words: np.ndarray) -> np.ndarray:
     return (mix(words ^ _GOLD) % np.uint64((1 << 24) - 2) + np.uint64(2)).astype(np.uint32)
 
 
-def with_sides(flags: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Seven bytes a name: flags, and the codes of the words before and after it."""
-    return np.column_stack([flags, *(((x >> np.uint32(8 * b)) & np.uint32(255)).astype(np.uint8) for x in (left, right) for b in range(3))])
+def packed(distinct: np.ndarray, flags: np.ndarray, bits: int, sides: Sequence[np.ndarray] = ()) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(bucket, names, flags) of ascending names: of a name the 40 bits after the bucket's, as steps from one to the next, a plane a byte.
 
-
-def packed(distinct: np.ndarray, flags: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    """(bucket, names, flags) of ascending names: of a name the 40 bits after the bucket's, as steps from one to the next, a plane a byte."""
+    After the flags come the ``sides``, of the names that are ``SIDED`` only, three planes each.
+    """
     if len(distinct) == 0:
         return [], [], []
     bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
@@ -186,69 +220,95 @@ def packed(distinct: np.ndarray, flags: np.ndarray, bits: int) -> tuple[list[int
     rest = (distinct << np.uint64(bits)) >> np.uint64(24)
     steps = np.diff(rest, prepend=np.uint64(0))
     steps[starts] = rest[starts]
-    rest = steps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    five = planes(steps, 5)
     ends = np.append(starts[1:], len(distinct))
     spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-    return bucket[starts].tolist(), [rest[a:b].T.tobytes() for a, b in spans], [flags[a:b].tobytes() for a, b in spans]
+    told = [flags[a:b].tobytes() for a, b in spans]
+    if len(sides):
+        before = np.append(0, np.cumsum((flags & SIDED) > 0))
+        three = [plane for side in sides for plane in planes(side, 3)]
+        told = [x + b"".join(plane[before[a] : before[b]] for plane in three) for x, (a, b) in zip(told, spans, strict=True)]
+    return bucket[starts].tolist(), [b"".join(plane[a:b] for plane in five) for a, b in spans], told
 
 
-def unpacked(names: bytes) -> np.ndarray:
-    planes = np.frombuffer(names, np.uint8).reshape(5, -1)
-    out = np.zeros(planes.shape[1], np.uint64)
+def planes(numbers: np.ndarray, width: int) -> list[np.ndarray]:
+    """The ``width`` lowest bytes of numbers, an array a byte, the highest first."""
+    return [(numbers >> numbers.dtype.type(8 * b)).astype(np.uint8) for b in reversed(range(width))]
+
+
+def joined(planes: np.ndarray, kind: type) -> np.ndarray:
+    """The numbers of which each plane has a byte, the highest first."""
+    out = np.zeros(planes.shape[1], kind)
     for plane in planes:
-        out = (out << np.uint64(8)) | plane
-    return np.cumsum(out, dtype=np.uint64)
+        out = (out << kind(8)) | plane
+    return out
 
 
-ELSEWHERE, GOODS, BEFORE, AFTER = 1, 6, 8, 16
+def unpacked(names: bytes) -> np.ndarray:
+    return np.cumsum(joined(np.frombuffer(names, np.uint8).reshape(5, -1), np.uint64), dtype=np.uint64)
 
 
 def together(table: pa.Table) -> pa.Table:
     """Of a bucket's rows (batch, names, flags) the flags of all of them together: one row a batch; ``BEFORE`` and ``AFTER`` where the words differ."""
-    parts = [unpacked(x) for x in table.column("names").to_pylist()]
+    parts = [unpacked(loosened(x)) for x in table.column("names").to_pylist()]
+    told = [np.frombuffer(loosened(x), np.uint8) for x in table.column("flags").to_pylist()]
     names = np.concatenate(parts)
-    told = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8).reshape(len(names), -1)
-    order = np.argsort(names, kind="stable")
+    # the 40 bits of names leave room below for their places
+    order = ascending(names << np.uint64(24))
     names = names[order]
     new = np.ones(len(names), bool)
     new[1:] = names[1:] != names[:-1]
     start, group = np.flatnonzero(new), np.cumsum(new) - 1
-    flags = told[order, 0]
-    rows = np.add.reduceat((flags & 1).astype(np.int64) + 1, start)
-    goods = np.add.reduceat((flags >> 1).astype(np.int64), start)
-    all_ = ((rows > 1) + 2 * np.minimum(goods, 2)).astype(np.uint8)
-    for at, bit in ((1, BEFORE), (4, AFTER)) if told.shape[1] > 1 else ():
-        side = sum(told[order, at + b].astype(np.uint32) << np.uint32(8 * b) for b in range(3))
-        all_ |= np.where(alike(side, new) == 0, np.uint8(bit), np.uint8(0))
+    flags = np.concatenate([t[: len(x)] for t, x in zip(told, parts, strict=True)])
+    nth = np.cumsum((flags & SIDED) > 0) - 1
+    flags = flags[order]
+    sided = np.flatnonzero(flags & SIDED)
+    all_ = (np.diff(start, append=len(names)) > 1) | (flags[start] & 1)
+    if (flags & GOODS).any():
+        all_ += 2 * np.minimum(np.add.reduceat(((flags & GOODS) >> 1).astype(np.int64), start), 2).astype(np.uint8)
+    if len(sided):
+        beside = np.concatenate([t[len(x) :].reshape(6, -1) for t, x in zip(told, parts, strict=True)], axis=1)
+        at, of = nth[order[sided]], group[sided]
+        new = np.ones(len(of), bool)
+        new[1:] = of[1:] != of[:-1]
+        for side, bit in ((beside[:3], BEFORE), (beside[3:], AFTER)):
+            all_[of[new]] |= np.where(alike(joined(side, np.uint32)[at], new) == 0, np.uint8(bit), np.uint8(0))
     out = np.empty(len(names), np.uint8)
     out[order] = all_[group]
     ends = np.cumsum([len(x) for x in parts]).tolist()
-    flags_of = [out[b - len(x) : b].tobytes() for x, b in zip(parts, ends, strict=True)]
+    flags_of = [squeezed(out[b - len(x) : b].tobytes()) for x, b in zip(parts, ends, strict=True)]
     return pa.table([*(table.column(c) for c in ("bucket", "batch", "low")), pa.array(flags_of, pa.binary())], names=["bucket", "batch", "low", "flags"])
 
 
-def cut(longest: Sequence[int], start: int, end: int) -> int:
-    """The number of phrases of the greedy cross-parsing from ``start``, from the longest match that begins at each word."""
+def cut(to: Sequence[int], start: int, end: int) -> int:
+    """The number of phrases of the greedy cross-parsing from ``start``, from the end of the phrase that begins at each word."""
     n = 0
     while start < end:
-        start += longest[start] or 1
+        start = to[start]
         n += 1
     return n
 
 
 def own_phrases(text: Sequence) -> int:
     """The number of phrases of the Lempel-Ziv (1978) parsing; an unfinished last phrase counts."""
-    seen: dict = {}
-    node, made = 0, 0
+    number = {c: i for i, c in enumerate(dict.fromkeys(text))}
+    return own_phrases_of_numbers([number[c] for c in text], len(number))
+
+
+def own_phrases_of_numbers(text: list[int], many: int) -> int:
+    """The same of numbers below ``many``."""
+    # a node is told by its number times many, so that with a word it makes one number
+    seen: dict[int, int] = {}
+    get, node, made = seen.get, 0, 0
     for c in text:
-        to = seen.get((node, c))
+        to = get(node + c)
         if to is None:
-            made += 1
-            seen[(node, c)] = made
+            made += many
+            seen[node + c] = made
             node = 0
         else:
             node = to
-    return made + (node > 0)
+    return made // max(1, many) + (node > 0)
 
 
 def scores(n: int, cross: int, own: int) -> tuple[float | None, float | None]:
@@ -258,18 +318,35 @@ def scores(n: int, cross: int, own: int) -> tuple[float | None, float | None]:
     return cross_bits, cross_bits - (own * math.log2(own) / n)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, after its length in eight bytes."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 _NAMES = "bucket long, batch long, low long, names binary, flags binary"
 
 
-def sent(distinct: np.ndarray, flags: np.ndarray, batch: int, low: int, bits: int) -> pa.Table:
-    bucket, parts, told = packed(distinct, flags, bits)
-    n = len(bucket)
+def sent(distinct: np.ndarray, flags: np.ndarray, batch: int, low: int, bits: int, sides: Sequence[np.ndarray] = ()) -> pa.Table:
+    bucket, parts, told = packed(distinct, flags, bits, sides)
+    n, parts, told = len(bucket), [squeezed(x) for x in parts], [squeezed(x) for x in told]
     return pa.table([pa.array(bucket, pa.int64()), pa.array([batch] * n, pa.int64()), pa.array([low] * n, pa.int64()), pa.array(parts, pa.binary()), pa.array(told, pa.binary())], names=["bucket", "batch", "low", "names", "flags"])
 
 
 def received(answers: pa.Table, names: np.ndarray) -> np.ndarray:
     """The answers to each of the names asked for."""
-    return np.frombuffer(b"".join(answers.sort_by("bucket").column("flags").to_pylist()), np.uint8)[Named(names).of()]
+    return Named(names).of(np.frombuffer(b"".join(map(loosened, answers.sort_by("bucket").column("flags").to_pylist())), np.uint8))
+
+
+def rows_of(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows of ascending words, from each row's first word."""
+    return np.repeat(np.arange(len(first) - 1), np.diff(np.searchsorted(at, first)))
 
 
 class Stretches:
@@ -283,7 +360,7 @@ class Stretches:
 
     def __init__(self, m: int, first: np.ndarray, good: np.ndarray, at: np.ndarray, side: np.ndarray, name: np.ndarray, bits: np.ndarray) -> None:
         self.m, self.first, self.good, self.at, self.side, self.name, self.bits = m, first, good, at, side, name, bits
-        self.row = np.searchsorted(first, at, side="right") - 1
+        self.row = rows_of(first, at)
         self.there = (bits & ELSEWHERE) > 0
 
     @classmethod
@@ -291,16 +368,14 @@ class Stretches:
         """From the factors of m words that begin at the kept words ``begins``, and the answers to them."""
         yes = (flags & ELSEWHERE) > 0
         begins, name, flags = begins[yes], name[yes], flags[yes]
-        row = np.searchsorted(first, at[begins], side="right") - 1
+        row = rows_of(first, at[begins])
         start, end = at[begins] == first[row], at[begins] + m == first[row + 1]
         bits = np.zeros(len(at), np.uint8)
         fine = ((flags & GOODS) >> 1).astype(np.int64) > good[row]
         bits[begins] = ELSEWHERE + 2 * fine + BEFORE * (start | ((flags & BEFORE) > 0)) + AFTER * (end | ((flags & AFTER) > 0))
         names = np.zeros(len(at), np.uint64)
         names[begins] = name
-        edge = np.zeros(len(at) + 1, np.int64)
-        np.add.at(edge, np.maximum(begins - 1, 0), 1)
-        np.add.at(edge, np.minimum(begins + m + 1, len(at)), -1)
+        edge = np.bincount(np.maximum(begins - 1, 0), minlength=len(at) + 1) - np.bincount(np.minimum(begins + m + 1, len(at)), minlength=len(at) + 1)
         kept = np.cumsum(edge[:-1]) > 0
         return cls(m, first, good, at[kept], side[kept], names[kept], bits[kept])
 
@@ -326,14 +401,14 @@ class Stretches:
         n = len(self.at)
         back, last = np.zeros(n, np.int64), np.arange(n)
         k = np.flatnonzero(self.there)
-        order = k[np.argsort(self.name[k], kind="stable")]
+        order = k[ascending(self.name[k])]
         a, b = order[:-1], order[1:]
         same = (self.name[a] == self.name[b]) & (self.row[a] == self.row[b]) & (self.at[b] - self.at[a] < self.m)
         back[b[same]] = (self.at[b] - self.at[a])[same]
         if n:
             stop = np.append((back[1:] != back[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (self.row[1:] != self.row[:-1]), True)
             stops = np.flatnonzero(stop)
-            last = stops[np.searchsorted(stops, last)]
+            last = np.repeat(stops, np.diff(stops, prepend=-1))
         return back, last
 
     @cached_property
@@ -341,19 +416,20 @@ class Stretches:
         """Starts of matches of m + 1 to 2m - 1 words, all ends' last factors, and for each start which of these it asks for (from, to)."""
         n = len(self.at)
         starts = np.flatnonzero(self.there & ((self.bits & BEFORE) > 0))
-        ends = np.flatnonzero(self.there & ((self.bits & AFTER) > 0))
+        end = self.there & ((self.bits & AFTER) > 0)
+        ends, before = np.flatnonzero(end), np.append(0, np.cumsum(end))
         broken = np.ones(n + 1, bool)
         if n:
             broken[1:n] = ~self.there[1:] | (self.at[1:] != self.at[:-1] + 1) | (self.row[1:] != self.row[:-1])
         breaks = np.flatnonzero(broken)
-        stop = np.minimum(breaks[np.searchsorted(breaks, starts, side="right")], starts + self.m)
+        stop = np.minimum(np.repeat(breaks[1:], np.diff(breaks))[starts], starts + self.m)
         back, last = self.periods
         # what ends within the period was asked for a period before, but for the end of the text
         last = last[starts]
         closes = self.at[last] + self.m == self.first[self.row[last] + 1]
         low = np.maximum(np.where(back[starts] > 0, last + ~closes, 0), starts + 1)
-        a = np.searchsorted(ends, low)
-        return starts, ends, a, np.maximum(np.searchsorted(ends, stop), a)
+        a = before[low]
+        return starts, ends, a, np.maximum(before[stop], a)
 
     @cached_property
     def asks(self) -> int:
@@ -375,14 +451,14 @@ class Stretches:
 
     def send(self, batch: int, low: int, bits: int) -> pa.Table:
         names, begin, length, n = self.ask()
-        left, right = np.zeros(len(names), np.uint32), np.zeros(len(names), np.uint32)
         twice = begin[:n]
         row = self.row[twice]
-        left[:n] = np.where(self.at[twice] == self.first[row], np.uint32(1), self.side[np.maximum(twice - 1, 0)])
+        left = np.where(self.at[twice] == self.first[row], np.uint32(1), self.side[np.maximum(twice - 1, 0)])
         after = twice + 2 * self.m
-        right[:n] = np.where(self.at[twice] + 2 * self.m == self.first[row + 1], np.uint32(1), self.side[np.minimum(after, len(self.side) - 1)])
+        right = np.where(self.at[twice] + 2 * self.m == self.first[row + 1], np.uint32(1), self.side[np.minimum(after, len(self.side) - 1)])
         named = Named(names)
-        return sent(named.distinct, with_sides(named.flags(self.row[begin], self.good.astype(np.int64)), named.sides(left), named.sides(right)), batch, low, bits)
+        sided, sides = named.sides(0, n, left, right)
+        return sent(named.distinct, named.flags(self.row[begin], self.good) | sided, batch, low, bits, sides)
 
     def take(self, answers: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Stretches]:
         """Matches of m + 1 to 2m - 1 words (where, how long: elsewhere and in good rows), and the stretches of 2m words."""
@@ -410,7 +486,7 @@ class Stretches:
         return self.at[k], np.full(len(k), self.m), np.where((self.bits[k] & 2) > 0, self.m, 0)
 
 
-_STATE = "batch long, low long, asks long, first binary, good binary, at binary, side binary, name binary, bits binary, any binary, fine binary"
+_STATE = "batch long, low long, asks long, size long, first binary, good binary, at binary, side binary, name binary, bits binary, any binary, fine binary"
 
 
 def states(batch: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], after: Stretches, most: int) -> pa.Table:
@@ -421,11 +497,22 @@ def states(batch: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], a
         columns = {c: getattr(part, c).astype(t) for c, t in Stretches.COLUMNS.items()}
         # steps, as nearly all of them are 1
         columns["at"] = np.diff(columns["at"], prepend=np.int32(0))
-        rows.append({"batch": batch, "low": low, "asks": part.asks} | {c: x.tobytes() for c, x in columns.items()})
+        rows.append({"batch": batch, "low": low, "asks": part.asks, "size": sum(x.nbytes for x in columns.values())} | {c: x.tobytes() for c, x in columns.items()})
     return pa.Table.from_pylist(rows, _ARROW)
 
 
-_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (x.split() for x in _STATE.split(", "))])
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (x.split() for x in columns.split(", "))])
+
+
+_ARROW = _schema(_STATE)
+
+
+def each(tables: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows, one at a time."""
+    for table in tables:
+        for i in range(len(table)):
+            yield table.slice(i, 1).to_pylist()[0]
 
 
 def stretches(row: dict, m: int) -> Stretches:
@@ -448,39 +535,82 @@ def finish(table: pa.Table, m: int, most: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def sealed(table: pa.Table) -> bytes:
+def sealed(table: pa.Table, batch: int) -> dict:
+    """A row of ``_SEALED``, of a table of (d, t, good): texts as numbers of their words, common words first, a plane a byte."""
+    raw, offsets = text_buffer(table.column("t"))
+    # temporaries of a slice stay in the cache
+    parts = [word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, HASH_BYTES)]
+    words, n = (np.concatenate([x, *y]) for x, y in ((np.zeros(0, np.uint64), [w for w, _ in parts]), (np.zeros(0, np.int64), [np.diff(f) for _, f in parts])))
+    named = Named(words)
+    count = np.diff(named.start, append=len(words))
+    by_count = np.argsort(-count, kind="stable")
+    number = np.empty(len(count), np.uint32)
+    number[by_count] = np.arange(len(count))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+    rows = table.select(["d", "good"]).append_column("n", pa.array(n))
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return {
+        "batch": batch, "rows": sink.getvalue().to_pybytes(), "bytes": pc.sum(pc.binary_length(table.column("t"))).as_py() or 0, "words": squeezed(b"".join(planes(named.of(number), 4))),
+        # of words that are as common the hashes ascend
+        "known": squeezed(b"".join(planes(np.diff(named.distinct[by_count], prepend=np.uint64(0)), 8))),
+    }
+
+
+_SEALED = "batch long, rows binary, known binary, words binary, bytes long"
+#: What a row counts in a batch beside its text; bytes of text that are hashed at once.
+ROW_BYTES, HASH_BYTES = 16, 1 << 18
+
+
+def batches(tables: Iterator[pa.RecordBatch], batch_bytes: int, first: int) -> Iterator[dict]:
+    """Rows of ``_SEALED`` numbered from ``first``, of consecutive rows of some ``batch_bytes``, or of one row of more."""
+    held: list[pa.Table] = []
+    size = 0
+    for x in tables:
+        table, low = pa.Table.from_batches([x]), 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(table.column("t")), 0).to_numpy().astype(np.int64) + ROW_BYTES)
+        while low < len(ends):
+            before = int(ends[low - 1]) if low else 0
+            high = max(int(np.searchsorted(ends, before + batch_bytes - size, side="right")), low + (not held))
+            if high > low:
+                held.append(table.slice(low, high - low))
+                size += int(ends[high - 1]) - before
+            if high < len(ends):
+                yield sealed(pa.concat_tables(held), first)
+                held, size, first = [], 0, first + 1
+            low = high
+    if held:
+        yield sealed(pa.concat_tables(held), first)
 
 
 class _Batch:
     """A batch's texts and what has come back of them so far."""
 
-    def __init__(self, table: pa.Table) -> None:
-        table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
+    def __init__(self, row: dict) -> None:
+        table = pa.ipc.open_stream(row["rows"]).read_all()
         self.ids = table.column("d")
-        self.good = table.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
-        raw, offsets = text_buffer(table.column("t"))
-        self.words, self.first = word_hashes(raw, offsets)
+        self.good = table.column("good").to_numpy().astype(np.int64)
+        self.known = np.cumsum(joined(np.frombuffer(loosened(row["known"]), np.uint8).reshape(8, -1), np.uint64), dtype=np.uint64)
+        self.number = joined(np.frombuffer(loosened(row["words"]), np.uint8).reshape(4, -1), np.uint32)
+        self.words = self.known[self.number]
+        self.first = np.append(0, np.cumsum(table.column("n").to_numpy()))
         self.factors = Factors(self.words, self.first)
         self.row = self.factors.row
-        self.longest = np.zeros((2, len(self.words)), np.int64)
+        self.longest = np.zeros((2, len(self.words)), np.uint8)
 
     def send(self, names: np.ndarray, places: list[np.ndarray], batch: int, bits: int, sides: bool) -> pa.Table:
         named = Named(names)
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         flags = named.flags(self.row[at], self.good)
-        if sides:
-            # of the longest factors only
-            left, right = np.zeros(len(names), np.uint32), np.zeros(len(names), np.uint32)
-            if len(places) == START - 3 and len(places[-1]):
-                last, n = places[-1], len(self.words)
-                left[-len(last) :] = np.where(last == self.first[self.row[last]], np.uint32(1), codes(self.words[last - 1]))
-                right[-len(last) :] = np.where(last + START == self.factors.end[last], np.uint32(1), codes(self.words[np.minimum(last + START, n - 1)]))
-            flags = with_sides(flags, named.sides(left), named.sides(right))
-        return sent(named.distinct, flags, batch, 0, bits)
+        if not sides:
+            return sent(named.distinct, flags, batch, 0, bits)
+        # of the longest factors only
+        last, n = places[-1] if len(places) == START - 3 else at[:0], len(self.words)
+        side = codes(self.known)[self.number]
+        left = np.where(last == self.first[self.row[last]], np.uint32(1), side[last - 1])
+        right = np.where(last + START == self.factors.end[last], np.uint32(1), side[np.minimum(last + START, n - 1)])
+        sided, told = named.sides(len(names) - len(last), len(names), left, right)
+        return sent(named.distinct, flags | sided, batch, 0, bits, told)
 
     def take(self, names: np.ndarray, places: list[np.ndarray], first_length: int, answers: pa.Table) -> np.ndarray:
         """Lengthen the longest matches by the answers; returns them for each factor."""
@@ -500,12 +630,29 @@ class _Batch:
         threes[places[2]] = there[len(there) - len(places[2]) :]
         return threes
 
+    def kept(self, batch: int) -> pa.Table:
+        """What the first round has told, four bits a word, as a row of answers from a bucket of the batch's own: it need not be asked for again."""
+        told = self.longest[0] | (self.longest[1] << 2)
+        told = np.append(told, np.zeros(len(told) % 2, np.uint8)).reshape(-1, 2)
+        told = squeezed((told[:, 0] | (told[:, 1] << 4)).tobytes())
+        return pa.table([pa.array([x], t) for x, t in ((-1 - batch, pa.int64()), (batch, pa.int64()), (0, pa.int64()), (b"", pa.binary()), (told, pa.binary()))], names=["bucket", "batch", "low", "names", "flags"])
+
+    def again(self, answers: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        """Takes up what was ``kept``; which factors of three words are elsewhere, and the other answers."""
+        own = answers.column("bucket").to_numpy() < 0
+        told = np.frombuffer(loosened(answers.filter(pa.array(own)).column("flags")[0].as_py()), np.uint8)
+        told = np.column_stack([told & 15, told >> 4]).reshape(-1)[: len(self.words)]
+        self.longest[0], self.longest[1] = told & 3, told >> 2
+        self.factors.grow()
+        self.factors.grow()
+        return self.longest[0, : max(0, len(told) - 2)] == 3, answers.filter(pa.array(~own))
+
     def stretches(self, threes: np.ndarray, answers: pa.Table) -> Stretches:
         names, places = longer(self.factors, threes)
         flags = self.take(names, places, 4, answers)
         begins = places[-1] if len(places) == START - 3 else np.zeros(0, np.int64)
         last = len(names) - len(begins)
-        return Stretches.of(START, self.first, self.good, np.arange(len(self.words)), codes(self.words), begins, names[last:], flags[last:])
+        return Stretches.of(START, self.first, self.good, np.arange(len(self.words)), codes(self.known)[self.number], begins, names[last:], flags[last:])
 
 
 def score(
@@ -513,57 +660,56 @@ def score(
 ) -> DataFrame:
     """id, n_symbols, own_phrases, cross_phrases, good_phrases, cross_entropy, relative_entropy, good_entropy of every row.
 
-    The texts are written once by batch, compressed, and exchanged so in each of three passes, the names of their short factors once in two;
+    The texts are written once by batch, as numbers of their words, and exchanged so in two of three passes, the names of their short factors once in two;
     a round for each doubling exchanges the stretches of text that are left and the names of their factors, until one worker can hold them all.
     """
     text = F.col(text_col).cast("string")
     good = labels.where(f"`{quality_col}` = 1 and `{id_col}` is not null").select(F.col(id_col).alias("d")).distinct().withColumn("good", F.lit(1))
     rows = docs.select(F.col(id_col).alias("d"), text.alias("t")).join(good, "d", "left").select("d", "t", F.coalesce("good", F.lit(0)).alias("good"))
-    # written, so that a row has the same number, and with it the same batch, in every pass
-    texts = materialise(rows.withColumn("nth", F.xxhash64(F.monotonically_increasing_id())), "lm-rows", compression="zstd")
-    total = texts.select(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    batches = -(-total // batch_bytes) + 1
+
+    def seal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in batches(tables, batch_bytes, TaskContext.get().partitionId() << 32):
+            yield pa.RecordBatch.from_pylist([row], _schema(_SEALED))
+
+    # written, so that a row has the same batch in every pass; the words are compressed already
+    batched = materialise(rows.mapInArrow(seal, _SEALED), "lm-batches", compression="none")
+    total = batched.select(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, total / bucket_bytes))))
     # of the names that a part of a batch asks for
     most = bucket_bytes // 4
-    rows = texts.select("d", "t", "good", F.pmod("nth", F.lit(batches)).alias("batch"))
 
-    def seal(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"batch": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([sealed(table.select(["d", "t", "good"]))], pa.binary())})
-
-    # compressed, as they are exchanged in each pass
-    batched = materialise(rows.groupBy("batch").applyInArrow(seal, "batch long, rows binary"), "lm-batches", compression="none")
-    discard(texts)
-
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        batch = _Batch(table)
-        return batch.send(*short(batch.factors), key[0].as_py(), bits, False)
+    def first(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(tables):
+            batch = _Batch(row)
+            yield from batch.send(*short(batch.factors), row["batch"], bits, False).to_batches()
 
     def second(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = _Batch(table)
-        return batch.send(*longer(batch.factors, batch.first_round(answers)), key[0].as_py(), bits, True)
+        batch = _Batch(table.to_pylist()[0])
+        threes = batch.first_round(answers)
+        return pa.concat_tables([batch.send(*longer(batch.factors, threes), key[0].as_py(), bits, True), batch.kept(key[0].as_py())])
 
     def third(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         """A row a document, and those of ``states``."""
-        batch, nth = _Batch(table), answers.column("round").to_numpy()
-        threes = batch.first_round(answers.filter(pa.array(nth == 1)))
-        left = states(key[0].as_py(), [], batch.stretches(threes, answers.filter(pa.array(nth == 2))), most)
-        longest, words, bounds = batch.longest.astype(np.uint8), batch.words.tolist(), batch.first.tolist()
+        batch = _Batch(table.to_pylist()[0])
+        threes, answers = batch.again(answers)
+        left = states(key[0].as_py(), [], batch.stretches(threes, answers), most)
+        longest, words, many, bounds = batch.longest, batch.number.tolist(), len(batch.known), batch.first.tolist()
         spans = list(zip(bounds[:-1], bounds[1:], strict=True))
         own = pa.table({
             "d": batch.ids, "batch": pa.array([key[0].as_py()] * len(spans), pa.int64()), "nth": pa.array(range(len(spans)), pa.int64()),
-            "own": pa.array([own_phrases(words[a:b]) for a, b in spans], pa.int64()), "longest": pa.array([longest[:, a:b].tobytes() for a, b in spans], pa.binary()),
+            "own": pa.array([own_phrases_of_numbers(words[a:b], many) for a, b in spans], pa.int64()), "longest": pa.array([longest[:, a:b].tobytes() for a, b in spans], pa.binary()),
         })
         both = pa.concat_tables([own, left], promote_options="default")
         return both.select(read.names)
 
     def ask(m: int, bits: int):
-        def send(key: tuple, table: pa.Table) -> pa.Table:
-            return stretches(table.to_pylist()[0], m).send(key[0].as_py(), key[1].as_py(), bits)
+        def send(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in each(tables):
+                yield from stretches(row, m).send(row["batch"], row["low"], bits).to_batches()
 
         return send
 
-    def answer(m: int):
+    def taken(m: int):
         def take(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
             found, after = stretches(table.to_pylist()[0], m).take(answers)
             return states(key[0].as_py(), [found], after, most)
@@ -588,7 +734,7 @@ def score(
                 np.maximum.at(best, at, np.frombuffer(more, np.int32))
         # a match's end never falls from one word to the next, nor goes beyond its text
         nth = np.arange(longest.shape[1])
-        cross, good = (np.maximum.accumulate(longest + nth, axis=1) - nth).tolist()
+        cross, good = np.maximum(np.maximum.accumulate(longest + nth, axis=1), nth + 1).tolist()
         done = []
         for a, b, mine in zip(bounds[:-1], bounds[1:], table.column("own").to_pylist(), strict=True):
             n, all_, other = b - a, cut(cross, a, b), cut(good, a, b)
@@ -604,22 +750,25 @@ def score(
     state = T.StructType.fromDDL(_STATE)
     read = T.StructType([T.StructField("d", docs.schema[id_col].dataType), *T.StructType.fromDDL("nth long, own long, longest binary"), *state])
 
-    def answered(names: DataFrame, nth: int) -> DataFrame:
-        flags = names.groupBy("bucket").applyInArrow(together, "bucket long, batch long, low long, flags binary")
-        return materialise(flags.withColumn("round", F.lit(nth)), "lm-answers", compression="zstd")
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        # what a batch has kept for itself comes back as it is
+        return together(table) if key[0].as_py() >= 0 else table.select(["bucket", "batch", "low", "flags"])
+
+    def answered(names: DataFrame) -> DataFrame:
+        return materialise(names.groupBy("bucket").applyInArrow(answer, "bucket long, batch long, low long, flags binary"), "lm-answers", compression="zstd")
 
     by = batched.groupBy("batch")
-    one = answered(by.applyInArrow(first, _NAMES), 1)
-    two = answered(by.cogroup(one.groupBy("batch")).applyInArrow(second, _NAMES), 2)
-    base = materialise(by.cogroup(one.union(two).groupBy("batch")).applyInArrow(third, read), "lm-short", compression="zstd")
-    discard(batched, one, two)
+    one = answered(batched.mapInArrow(first, _NAMES))
+    two = answered(by.cogroup(one.groupBy("batch")).applyInArrow(second, _NAMES))
+    discard(one)
+    base = materialise(by.cogroup(two.groupBy("batch")).applyInArrow(third, read), "lm-short", compression="zstd")
+    discard(batched, two)
     left, found, m = base.select(state.names), [], START
     while True:
         of = left.where("asks is null and at is not null").select("batch", "at", "any", "fine")
         found.append(of if m == START else materialise(of, "lm-matches", compression="zstd"))
         more = left.where("asks > 0")
-        size = sum((F.octet_length(c) for c in Stretches.COLUMNS), F.lit(0))
-        total, bytes_ = more.select(F.coalesce(F.sum("asks"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+        total, bytes_ = more.select(F.coalesce(F.sum("asks"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         before, few = left, 8 * total + bytes_ <= 2 * bucket_bytes
         if total == 0:
             break
@@ -631,8 +780,8 @@ def score(
             by = more.groupBy("batch", "low")
             # 8 bytes a name
             bits = max(0, math.ceil(math.log2(max(1, 8 * total / bucket_bytes))))
-            replies = answered(by.applyInArrow(ask(m, bits), _NAMES), m)
-            left = materialise(by.cogroup(replies.groupBy("batch", "low")).applyInArrow(answer(m), state), "lm-stretches", compression="zstd")
+            replies = answered(more.mapInArrow(ask(m, bits), _NAMES))
+            left = materialise(by.cogroup(replies.groupBy("batch", "low")).applyInArrow(taken(m), state), "lm-stretches", compression="zstd")
             discard(replies)
         if m > START:
             discard(before)

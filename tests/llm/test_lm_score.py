@@ -203,3 +203,45 @@ def test_one_word_texts_ask_for_few_names():
     begins = at[: n - m + 1]
     row = L.Stretches.of(m, np.array([0, n]), np.array([0], np.int8), at, np.full(n, 7, np.uint32), begins, np.full(len(begins), 5, np.uint64), np.full(len(begins), L.ELSEWHERE + L.BEFORE + L.AFTER, np.uint8))
     assert row.asks <= 2 * n
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 40), st.integers(0, 2**64 - 1), st.integers(2**64 - 20, 2**64 - 1)), max_size=60))
+def test_ascending(names):
+    """Also names that differ in the bits only which the places take."""
+    names = np.array(names, np.uint64)
+    assert L.ascending(names).tolist() == np.argsort(names, kind="stable").tolist()
+
+
+@pytest.mark.parametrize("size", [1, 30, 100, 10_000])
+def test_batches_hold_every_row_once(size):
+    """Rows of one batch stay below its size, but for one that is larger itself."""
+    texts = [None, "", "a b a", "b c " * 40, "x", None, "--", "d", "a b a", "e f g " * 9]
+    tables = [pa.record_batch({"d": list(range(a, b)), "t": pa.array(texts[a:b], pa.string()), "good": [1] * (b - a)}) for a, b in ((0, 3), (3, 3), (3, 10))]
+    found = list(L.batches(iter(tables), size, 7 << 32))
+    assert [r["batch"] for r in found] == [(7 << 32) + i for i in range(len(found))]
+    assert all(r["bytes"] <= size or len(L._Batch(r).ids) == 1 for r in found)
+    made = [L._Batch(r) for r in found]
+    assert [d for b in made for d in b.ids.to_pylist()] == list(range(10))
+    words, first = word_hashes(*text_buffer(pa.array(texts, pa.string())))
+    assert np.concatenate([b.words for b in made]).tolist() == words.tolist()
+    assert np.concatenate([np.diff(b.first) for b in made]).tolist() == np.diff(first).tolist()
+
+
+def shuffled(spark, after=-1):
+    """(last stage, bytes of shuffle written by the stages after ``after``)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    told = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return max([x for x, _ in told], default=-1), sum(b for x, b in told if x > after)
+
+
+def test_exchanges_are_small(spark):
+    """Bytes exchanged for one of text: 4.9 when batches were exchanged for each question and every name had the words beside it, 2.7 after."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    text = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    before, _ = shuffled(spark)
+    L.score(docs, labels).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark, before)[1] < 3.5 * text
