@@ -34,7 +34,11 @@ def known_uses(uses: DataFrame, known: DataFrame, key: list[str], on: str, count
 
 def lowest_partner(pairs: DataFrame) -> DataFrame:
     """For each member of pairs (a, b, similarity) its partner of lowest number, with the similarity in whole percent."""
-    both = pairs.select(F.col("a").alias("member"), F.col("b").alias("partner"), "similarity").union(pairs.select("b", "a", "similarity"))
+    return lowest(pairs.select(F.col("a").alias("member"), F.col("b").alias("partner"), "similarity").union(pairs.select("b", "a", "similarity")))
+
+
+def lowest(both: DataFrame) -> DataFrame:
+    """For each member of (member, partner, similarity) the partner of lowest number, with the similarity in whole percent."""
     best = both.groupBy("member").agg(F.min(F.struct("partner", "similarity")).alias("m"))
     return best.select("member", F.col("m.partner").alias("partner"), F.round(F.col("m.similarity") * 100).cast("long").alias("percent"))
 

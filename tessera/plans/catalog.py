@@ -177,7 +177,7 @@ def j1_clone_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_SHINGLES}, twice AS (SELECT DISTINCT a AS member, b AS partner, j FROM pairs UNION SELECT b, a, j FROM pairs)
 SELECT member, min(partner) AS partner, CAST(round(100 * arg_min(j, partner)) AS BIGINT) AS percent FROM twice GROUP BY member""")
 def j3_lowest_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.lowest_partner(similarity.text_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return relations.lowest(similarity.text_lowest(_table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @_query(f"""
