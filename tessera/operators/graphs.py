@@ -15,34 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.store import written
+from tessera.operators.store import counted, written
+
+
+#: Rows of a table that a join may hold in every executor. Sorted tables of numbers are so small as files that Spark would send millions of rows through the driver.
+FEW = 100_000
+
+
+def _joined(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` as it enters joins: beyond ``FEW`` rows neither side is broadcast."""
+    return table if rows <= FEW else table.hint("merge")
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written, as it enters joins, and its count of rows."""
+    table, told = counted(df, name, rows=F.count("*"))
+    return _joined(table, told["rows"]), told["rows"]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b): the component is its smallest node. Labels and jumps to labels' labels, until stable."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    while True:
+    both, _ = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels, nodes = _kept(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")), "labels")
+    moved = nodes
+    while moved:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        new = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("component", "near").alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = written(new.join(jump, "component").select("node", F.col("further").alias("component")), "labels")
-        moved = new.join(labels.withColumnRenamed("component", "old"), "node").where("component != old")
-        if moved.isEmpty():
-            return new
-        labels = new
+        new = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        jump = _joined(labels.select(F.col("node").alias("component"), F.col("component").alias("further")), nodes)
+        table, told = counted(new.join(jump, "component").select("node", "old", F.col("further").alias("component")), "labels", moved=F.count_if(F.col("component") != F.col("old")))
+        moved = told["moved"]
+        labels = _joined(table.select("node", "component"), nodes)
+    return labels
 
 
 def reachable(edges: DataFrame) -> DataFrame:
     """(src, dst) pairs joined by a path of one edge or more: semi-naive closure, each round extending only what is new."""
-    edges = written(edges.select("src", "dst").distinct(), "edges")
+    edges, _ = _kept(edges.select("src", "dst").distinct(), "edges")
     known, fresh = edges, edges
     while True:
         step = fresh.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
-        fresh = written(step.join(known, ["src", "dst"], "left_anti"), "fresh")
-        if fresh.isEmpty():
+        fresh, rows = _kept(step.join(known, ["src", "dst"], "left_anti"), "fresh")
+        if not rows:
             return known
-        known = written(known.union(fresh), "known")
+        known, _ = _kept(known.union(fresh), "known")
 
 
 def propagation_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,13 +70,13 @@ def propagation_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _grown(start: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(node, label): the least label over the node's own in ``start`` and those of all nodes with a path to it along ``edges`` (src, dst)."""
-    labels = written(start, name)
+    labels, _ = _kept(start, name)
     while True:
         into = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("l")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("l").alias("l"))
-        new = written(labels.join(into, "node", "left").select("node", F.least("label", "l").alias("label")), name)
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("not (label <=> old)")
-        labels = new
-        if moved.isEmpty():
+        new = labels.join(into, "node", "left").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old"))
+        table, told = counted(new, name, rows=F.count("*"), moved=F.count_if(~F.col("label").eqNullSafe(F.col("old"))))
+        labels = _joined(table.select("node", "label"), told["rows"])
+        if not told["moved"]:
             return labels
 
 
@@ -73,14 +88,13 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     every table has as many rows as nodes or edges.
     """
     kind = edges.schema["src"].dataType
-    live = written(edges.where("src != dst").select("src", "dst").distinct(), "edges")
+    live, count = _kept(edges.where("src != dst").select("src", "dst").distinct(), "edges")
     found = edges.sparkSession.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
     while True:
-        count = live.count()
         while count:
             inner = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            live = written(inner.select("src", "dst"), "edges")
-            before, count = count, live.count()
+            before = count
+            live, count = _kept(inner.select("src", "dst"), "edges")
             if count == before:
                 break
         if not count:
@@ -88,30 +102,46 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         nodes = live.select(F.col("src").alias("node")).distinct()
         colour = _grown(nodes.withColumn("label", F.col("node")), live, "colours")
         one, two = colour.toDF("src", "p"), colour.toDF("dst", "q")
-        inside = written(live.join(one, "src").join(two, "dst").where("p = q").select("src", "dst"), "inside")
+        inside, _ = _kept(live.join(one, "src").join(two, "dst").where("p = q").select("src", "dst"), "inside")
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         reached = _grown(colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label")), back, "reached").where("label is not null")
         found = written(found.union(reached.select("node", F.col("label").alias("component"))), "components")
         gone = reached.select("node")
         rest = inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        live = written(rest.select("src", "dst"), "edges")
+        live, count = _kept(rest.select("src", "dst"), "edges")
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     return found.join(sizes, "component").select("node", "component", "size")
 
 
 def longest_path(parents: DataFrame) -> DataFrame:
-    """(node, depth) over (node, parent) rows without cycles; a node with only unknown or null parents has depth 0."""
+    """(node, depth) over (node, parent) rows without cycles; a node with only unknown or null parents has depth 0.
+
+    Level by level from the nodes without a parent: a node is in every level at which a path ends in it, in a tree in one; the last is its depth.
+    """
     nodes = parents.select("node").distinct()
-    links = written(parents.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent").distinct(), "links")
-    depth = written(nodes.withColumn("depth", F.lit(0).cast("long")), "depth")
-    bound = nodes.count()
-    for _ in range(bound):
-        above = links.join(depth.select(F.col("node").alias("parent"), F.col("depth").alias("d")), "parent").groupBy("node").agg((F.max("d") + 1).alias("up"))
-        new = written(depth.join(above, "node", "left").select("node", F.greatest("depth", F.coalesce("up", F.lit(0))).alias("depth")), "depth")
-        if new.join(depth.withColumnRenamed("depth", "old"), "node").where("depth != old").isEmpty():
-            return new
-        depth = new
-    return depth
+    nodes, bound = _kept(nodes, "nodes")
+    links, _ = _kept(parents.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent").distinct(), "links")
+    level, rows = _kept(nodes.join(links.select("node"), "node", "left_anti"), "level")
+    depth, levels = nodes.withColumn("depth", F.lit(0).cast("long")), []
+    for at in range(1, bound + 1):
+        level, rows = _kept(links.join(_entering(level, rows).withColumnRenamed("node", "parent"), "parent").select("node").distinct(), "level")
+        if not rows:
+            break
+        levels.append(level.withColumn("depth", F.lit(at).cast("long")))
+        if len(levels) == 32:
+            depth, levels = written(_deepest(depth, levels), "depth"), []
+    return _deepest(depth, levels)
+
+
+def _entering(level: DataFrame, rows: int) -> DataFrame:
+    """A small level meets the links where they lie."""
+    return F.broadcast(level) if rows <= FEW else level
+
+
+def _deepest(depth: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    for level in levels:
+        depth = depth.union(level)
+    return depth.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
 def declared_modularity(members: DataFrame, edges: DataFrame) -> DataFrame:

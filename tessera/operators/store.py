@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: list[str] = []
 _made: list[str] = []
@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and aggregates of its rows taken while they are written, without another job."""
+    seen = Observation()
+    table = written(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return table, seen.get
+
+
 def forget(spark: SparkSession) -> int:
     """Delete every table that this process has written here, once what was made of them is written elsewhere; how many."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
